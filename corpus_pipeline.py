@@ -1,12 +1,70 @@
-"""A corpus pipeline: stages that each call one corpus operator, written and read again between stages."""
+"""A corpus pipeline: stages that each call one corpus operator, written and read again between stages.
+
+Each stage works on all that its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from psephos.llm import quality_model, quality_rules
+from psephos.llm.common import documents, fold, labels, stored
+from psephos.llm.packing import pack_documents
+from psephos.llm.simhash import one_of_each
+from psephos.llm.substrings import without_repeats
+from psephos.llm.tokens import word_bpe
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores under its threshold go."""
+    return quality_model.quality_filter(docs, quality_model.trained(spark, docs, sf_dir))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base test or a learned rule rejects go."""
+    stats = stored(quality_rules.statistics(docs.select("doc_id", "text"), "stat_").drop("text"), "statistics")
+    learned = quality_rules.trained_rules(stats, labels(spark, sf_dir).where(fold(F.col("doc_id"), 5) != 0))
+    return quality_rules.rules_filter(docs, learned)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that a smaller document has go from the text; n_chars follows. No document goes."""
+    kept = without_repeats(docs).select("doc_id", F.col("text").alias("_kept")).distinct()
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = docs.select(*rest).join(kept, "doc_id", "left").withColumns({"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")})
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rest, tokenized and packed into sequences."""
+    return pack_documents(docs, word_bpe())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", classify),
+    ("quality_rules", apply_rules),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("best_fit_packing", pack),
+]
 
-STAGES: list = []
+#: The first two stages learn and the last tokenizes, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("no stage yet")
+    """All stages, each written to the shared folder and read again as the next one's documents."""
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, name)
+    return docs

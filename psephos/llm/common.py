@@ -78,7 +78,7 @@ def bounded_sample(rows: DataFrame, key: Column, kind: Column, most: int) -> Dat
 
     One count per kind is taken over all rows; a kind with fewer rows than `most` is taken whole.
     """
-    counts = {r["kind"]: r["n"] for r in rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).limit(4096).collect()}
+    counts = {r["kind"]: r["n"] for r in rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for value, n in counts.items():
         share = F.lit(min(1.0, most / max(n, 1)))

@@ -8,12 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from psephos.llm.bpe import op9_bpe
 from psephos.llm.huffman import op2_token_files
+from psephos.llm.language_id import op1_language_id
 from psephos.llm.packing import op8_pack
+from psephos.llm.quality_model import op4_quality
+from psephos.llm.quality_rules import op3_quality_rules
+from psephos.llm.simhash import op5_simhash
+from psephos.llm.substrings import OP6_SQL, op6_substrings
+from psephos.llm.topk import OP10_SQL, op10_top_k
+from psephos.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op8_pack": op8_pack, "op9_bpe": op9_bpe}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_token_files": op2_token_files,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_quality": op4_quality,
+        "op5_simhash": op5_simhash,
+        "op6_substrings": op6_substrings,
+        "op7_toxicity": op7_toxicity,
+        "op8_pack": op8_pack,
+        "op9_bpe": op9_bpe,
+        "op10_top_k": op10_top_k,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn, tokenize or hash by rules that SQL has not; they are tested against brute force."""
+    return {"op6_substrings": OP6_SQL, "op10_top_k": OP10_SQL}
