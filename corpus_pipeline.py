@@ -37,10 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a smaller document has go from the text; n_chars follows. No document goes."""
-    kept = without_repeats(docs).select("doc_id", F.col("text").alias("_kept")).distinct()
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = docs.select(*rest).join(kept, "doc_id", "left").withColumns({"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")})
-    return out.select(*docs.columns)
+    cut = without_repeats(docs, carry=rest)
+    return cut.select(*[F.col("rest")[c].alias(c) for c in rest], "text", F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ Words go that lie in a window whose word sequence also starts in a document with
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from psephos.llm.common import arrow_map, documents, stored, texts_as_bytes
 
@@ -186,14 +187,15 @@ def id_filter(ids: DataFrame) -> Broadcast:
 
 
 def with_ids(docs: DataFrame, marked: Broadcast, inside: bool) -> DataFrame:
-    """docs (doc_id, text) whose id is in the filter, or not (null ids are not). A filter may let in others too."""
+    """docs (doc_id, text and more) whose id is in the filter, or not (null ids are not). A filter may let in others too."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = in_filter(marked.value, DOC_FILTER_BITS, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)) & ~np.asarray(batch.column(0).is_null())
+        hit = in_filter(marked.value, DOC_FILTER_BITS, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)) & ~np.asarray(batch.column(0).is_null())
         kept = batch.filter(pa.array(hit if inside else ~hit))
-        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["doc_id", "text"])
+        return pa.RecordBatch.from_arrays(kept.columns[:-1], docs_names)
 
-    return arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), work, "doc_id long, text string")
+    docs_names = docs.columns
+    return arrow_map(docs.withColumn("_hash", F.xxhash64("doc_id")), work, docs.schema)
 
 
 def digest_of(words: list[bytes], at: int, size: int) -> bytes:
@@ -243,15 +245,19 @@ def kept_words(words: list[bytes], removable: list[dict], bits: int) -> list[byt
     return [words[k] for k in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()]
 
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, text) of every document, or with texts=False kept_sha256 in place of text.
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", texts: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, text, rest) of every document, or with texts=False kept_sha256 in place of text.
+
+    rest is a struct of the columns named in carry, null without any.
 
     A text that loses nothing stays as it is; of another, the kept words are joined by one space. A null text has no
     words (and stays null). Rows with a null doc_id lose nothing and are nobody's source. Rows that share a doc_id are
     no smaller than each other; each loses what a smaller document has. An empty table gives no rows; further columns
     are not looked at.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest.alias("rest"))
+    docs = rows.drop("rest")
     marked = bit_filter(repeated_anchors(docs), FILTER_BITS)
     found = stored(spans(edges(docs, marked)), "spans")
     digests = stored(source_digests(docs, found), "digests")
@@ -261,7 +267,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def result(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, removed, last = [], [], []
-        lists = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        lists = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
         for t, removable in zip(texts_as_bytes(batch.column(1)), lists):
             words = (t or b"").split()
             kept = kept_words(words, removable, text_bits(t)) if removable else words
@@ -272,16 +278,17 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             else:
                 last.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         final = pa.array(last, pa.binary()).cast(pa.string()) if texts else pa.array(last, pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), final], ["doc_id", "n_words", "n_removed", "text" if texts else "kept_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), final, batch.column(2)], ["doc_id", "n_words", "n_removed", name, "rest"])
 
-    schema = f"doc_id long, n_words long, n_removed long, {'text' if texts else 'kept_sha256'} string"
-    inside = with_ids(docs, own, True).join(verified, "doc_id", "left").select("doc_id", "text", "removable")
-    return arrow_map(inside, result, schema).unionByName(arrow_map(with_ids(docs, own, False), result, schema))
+    name = "text" if texts else "kept_sha256"
+    schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add(name, "string").add("rest", rows.schema["rest"].dataType)
+    inside = with_ids(rows, own, True).join(verified, "doc_id", "left").select("doc_id", "text", "rest", "removable")
+    return arrow_map(inside, result, schema).unionByName(arrow_map(with_ids(rows, own, False), result, schema))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: what all documents lose and keep."""
-    return without_repeats(documents(spark, sf_dir), texts=False)
+    return without_repeats(documents(spark, sf_dir), texts=False).drop("rest")
 
 
 OP6_SQL = r"""
