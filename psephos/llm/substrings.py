@@ -3,11 +3,13 @@
 A window is WINDOW consecutive words of one document: an edge of the graph from its first WINDOW - 1 words to its last.
 Words go that lie in a window whose word sequence also starts in a document with a smaller doc_id.
 
+Exact copies of a smaller document's text lose all their windows, so they need no search and take no part in it.
+
 1. Anchors. Every window has one: the least hash among its runs of ANCHOR words. Equal windows have equal anchors, and
    neighbouring windows mostly share one, so the anchors of all documents are few. An anchor found in one document only
    shows that none of its windows repeats. The others are marked in a bit filter of fixed size (FILTER_BITS); where it
    fills up, more windows go on, none is lost.
-2. Edges. Windows with a marked anchor, once for each document, with a 64-bit hash, 24 check bits and their place.
+2. Edges. Windows with a marked anchor, once for each document, with a 64-bit hash and their place.
 3. Each repeated edge gets its source coordinate: the first place of the smallest document that has it.
 4. Compaction. Joined with their sources, edges that follow each other in a document and in its source at once form a
    nonbranching path: a span (document, place, length, source, place there).
@@ -18,13 +20,15 @@ Words go that lie in a window whose word sequence also starts in a document with
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,9 +37,11 @@ from psephos.llm.common import arrow_map, documents, stored, texts_as_bytes
 WINDOW, ANCHOR = 13, 5
 FILTER_BITS = 27
 DOC_FILTER_BITS = 24
-REMEMBERED = 1_000_000
-#: A place is a long: check bits of the window, a few bits of the text (for rows that share a doc_id), the word's number.
+REMEMBERED = 300_000
+#: A place is a long: a few bits of the text (for rows that share a doc_id), the word's number.
 PLACE_BITS, TEXT_BITS = 28, 11
+#: Anchors are told apart by so many bits; two that agree in them only let more windows go on.
+ANCHOR_BITS = 48
 FIRST, SECOND, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -121,7 +127,18 @@ def in_filter(bits: bytes, size: int, hashes: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bits, dtype=np.uint8)[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
+def text_key() -> list[Column]:
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("chars")]
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, chars) of rows of docs (doc_id, text) whose text a smaller document has: same length and same 128 bits of hashes."""
+    keys = stored(docs.where("doc_id is not null and text is not null").select("doc_id", *text_key()), "text-keys")
+    firsts = stored(keys.groupBy("h1", "h2", "chars").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first-copies")
+    return keys.join(firsts, ["h1", "h2", "chars"]).where("first < doc_id").select("doc_id", "h1", "h2", "chars").distinct()
+
+
+def repeated_anchors(docs: Rows) -> DataFrame:
     """(anchor) of anchors found in two documents or more."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,19 +146,19 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         for name, t in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1))):
             words = t.split() if t and name is not None else []
             if len(words) >= WINDOW:
-                a = np.unique(anchors_of(WORDS.of(words)))
+                a = np.unique(anchors_of(WORDS.of(words)) & np.uint64((1 << ANCHOR_BITS) - 1))
                 found.append(a)
                 names.append(np.full(len(a), name, dtype=np.int64))
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], ["anchor", "doc_id"])
 
-    seen = arrow_map(docs, work, "anchor long, doc_id long")
+    seen = docs.map(work, "anchor long, doc_id long")
     return seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
 
 
-def edges(docs: DataFrame, marked: Broadcast) -> DataFrame:
-    """(edge, doc_id, place) of the windows with a marked anchor, each once for a document."""
+def edges(docs: Rows, marked: Broadcast) -> DataFrame:
+    """(edge, doc_id, at) of the windows with a marked anchor, each once for a document."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -155,14 +172,12 @@ def edges(docs: DataFrame, marked: Broadcast) -> DataFrame:
                 continue
             edge, first = np.unique(rolled(hashes, WINDOW, FIRST)[at], return_index=True)
             at = at[first]
-            check = rolled(hashes, WINDOW, SECOND)[at] >> np.uint64(40)
-            place = (check << np.uint64(PLACE_BITS + TEXT_BITS)) | np.uint64(text_bits(t) << PLACE_BITS) | at.astype(np.uint64)
-            parts.append((edge.view(np.int64), np.full(len(at), name, dtype=np.int64), place.view(np.int64)))
+            parts.append((edge.view(np.int64), np.full(len(at), name, dtype=np.int64), at + (text_bits(t) << PLACE_BITS)))
         if not parts:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["edge", "doc_id", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["edge", "doc_id", "at"])
 
-    return arrow_map(docs, work, "edge long, doc_id long, place long")
+    return docs.map(work, "edge long, doc_id long, at long")
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -170,12 +185,9 @@ def spans(found: DataFrame) -> DataFrame:
 
     at and source_at hold text bits and word number; size counts windows.
     """
-    check = F.shiftrightunsigned("place", PLACE_BITS + TEXT_BITS)
-    where = F.col("place").bitwiseAND(F.lit((1 << (PLACE_BITS + TEXT_BITS)) - 1))
-    rows = found.select("edge", check.alias("check"), "doc_id", where.alias("at"))
-    firsts = rows.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"))
-    sources = stored(firsts.where("first.doc_id < last").select("edge", "check", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at")), "edge-sources")
-    met = rows.join(sources, ["edge", "check"]).where("source < doc_id").select("doc_id", "at", "source", (F.col("source_at") - F.col("at")).alias("apart"))
+    firsts = found.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at"))
+    sources = stored(firsts.where("source < last").drop("last"), "edge-sources")
+    met = found.join(sources, "edge").where("source < doc_id").select("doc_id", "at", "source", (F.col("source_at") - F.col("at")).alias("apart"))
     place = Window.partitionBy("doc_id").orderBy("source", "apart", "at")
     path = met.withColumn("path", F.col("at") - F.row_number().over(place))
     return path.groupBy("doc_id", "source", "apart", "path").agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("size")).select("doc_id", "at", "size", "source", (F.col("at") + F.col("apart")).alias("source_at"))
@@ -186,16 +198,39 @@ def id_filter(ids: DataFrame) -> Broadcast:
     return bit_filter(ids.select(F.xxhash64(ids.columns[0]).alias("h")), DOC_FILTER_BITS)
 
 
-def with_ids(docs: DataFrame, marked: Broadcast, inside: bool) -> DataFrame:
-    """docs (doc_id, text and more) whose id is in the filter, or not (null ids are not). A filter may let in others too."""
+@dataclass(frozen=True)
+class Rows:
+    """Tables of (doc_id, text and more), each with tests of its ids by bit filters: (filter, whether ids in it pass).
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = in_filter(marked.value, DOC_FILTER_BITS, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)) & ~np.asarray(batch.column(0).is_null())
-        kept = batch.filter(pa.array(hit if inside else ~hit))
-        return pa.RecordBatch.from_arrays(kept.columns[:-1], docs_names)
+    Null ids are in no filter; a filter may hold others than it was made for. Tests run in the task that does the work
+    on the rows, so that no second Python worker stands beside it.
+    """
+
+    tables: tuple[tuple[DataFrame, tuple[tuple[Broadcast, bool], ...]], ...]
+
+    def passing(self, marked: Broadcast, inside: bool) -> Rows:
+        return Rows(tuple((df, (*tests, (marked, inside))) for df, tests in self.tables))
+
+    def map(self, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self._map(df, tests, work, schema) for df, tests in self.tables])
+
+    def rows(self) -> DataFrame:
+        return self.map(lambda batch: batch, self.tables[0][0].schema)
+
+    @staticmethod
+    def _map(df: DataFrame, tests: tuple[tuple[Broadcast, bool], ...], work: Callable, schema: str | StructType) -> DataFrame:
+        names = df.columns
+
+        def tested(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            hashes = batch.column(len(names)).to_numpy(zero_copy_only=False).view(np.uint64)
+            null = np.asarray(batch.column(0).is_null())
+            kept = np.ones(batch.num_rows, dtype=bool)
+            for marked, inside in tests:
+                kept &= (in_filter(marked.value, DOC_FILTER_BITS, hashes) & ~null) == inside
+            passed = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(kept))
+            return work(passed) if passed.num_rows else None
 
-    docs_names = docs.columns
-    return arrow_map(docs.withColumn("_hash", F.xxhash64("doc_id")), work, docs.schema)
+        return arrow_map(df.withColumn("_hash", F.xxhash64("doc_id")), tested, schema)
 
 
 def digest_of(words: list[bytes], at: int, size: int) -> bytes:
@@ -206,11 +241,11 @@ def _inside(place: int) -> tuple[int, int]:
     return place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
 
 
-def source_digests(docs: DataFrame, found: DataFrame) -> DataFrame:
+def source_digests(docs: Rows, found: DataFrame) -> DataFrame:
     """(source, source_at, size, digest) of the words at the source coordinates, asked once each."""
     asked = found.select("source", "source_at", "size").distinct().groupBy("source").agg(F.collect_list(F.struct("source_at", "size")).alias("asked"))
     asked = stored(asked, "asked")
-    rows = with_ids(docs, id_filter(asked.select("source")), True).join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
+    rows = docs.passing(id_filter(asked.select("source")), True).rows().join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -256,21 +291,31 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are not looked at.
     """
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest.alias("rest"))
-    docs = rows.drop("rest")
-    marked = bit_filter(repeated_anchors(docs), FILTER_BITS)
-    found = stored(spans(edges(docs, marked)), "spans")
-    digests = stored(source_digests(docs, found), "digests")
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest.alias("rest"))
+    copies = stored(exact_copies(every.select("doc_id", "text")), "copies")
+    copied = id_filter(copies.select("doc_id"))
+    # Rows that the filter lets in are few; those that are no copies after all (or have no copy's text) go back to the others.
+    whole = Rows(((every, ()),))
+    maybe = whole.passing(copied, True).rows().withColumns({k: v for k, v in zip(["h1", "h2", "chars"], text_key())})
+    key = ["doc_id", "h1", "h2", "chars"]
+    back = stored(maybe.join(copies, key, "left_anti").select("doc_id", "text", "rest"), "no-copies")
+    rows = Rows(((every, ((copied, False),)), (back, ())))
+    bare = Rows(tuple((df.drop("rest"), tests) for df, tests in rows.tables))
+    marked = bit_filter(repeated_anchors(bare), FILTER_BITS)
+    found = stored(spans(edges(bare, marked)), "spans")
+    digests = stored(source_digests(bare, found), "digests")
     verified = found.join(digests, ["source", "source_at", "size"]).groupBy("doc_id").agg(F.collect_set(F.struct("at", "size", "digest")).alias("removable"))
     verified = stored(verified, "verified")
     own = id_filter(verified.select("doc_id"))
 
-    def result(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def result(batch: pa.RecordBatch, copy: bool = False) -> pa.RecordBatch:
         n, removed, last = [], [], []
         lists = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
         for t, removable in zip(texts_as_bytes(batch.column(1)), lists):
             words = (t or b"").split()
             kept = kept_words(words, removable, text_bits(t)) if removable else words
+            if copy and len(words) >= WINDOW:
+                kept = []
             n.append(len(words))
             removed.append(len(words) - len(kept))
             if texts:
@@ -281,9 +326,11 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), final, batch.column(2)], ["doc_id", "n_words", "n_removed", name, "rest"])
 
     name = "text" if texts else "kept_sha256"
-    schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add(name, "string").add("rest", rows.schema["rest"].dataType)
-    inside = with_ids(rows, own, True).join(verified, "doc_id", "left").select("doc_id", "text", "rest", "removable")
-    return arrow_map(inside, result, schema).unionByName(arrow_map(with_ids(rows, own, False), result, schema))
+    schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add(name, "string").add("rest", every.schema["rest"].dataType)
+    inside = rows.passing(own, True).rows().join(verified, "doc_id", "left").select("doc_id", "text", "rest", "removable")
+    of_copies = maybe.join(copies, key, "left_semi").select("doc_id", "text", "rest")
+    parts = [arrow_map(inside, result, schema), rows.passing(own, False).map(result, schema), arrow_map(of_copies, partial(result, copy=True), schema)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
