@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from psephos.schemas import ABSENT_TOKENS
 
-_SPACE = r"[\s  -​ 　]"
+_SPACE = r"[\s\u00A0\u2000-\u200B\u202F\u3000]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(names: pd.Series) -> pd.Series:
     """NFKD without combining marks, which Spark has no expression for."""
     return names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))

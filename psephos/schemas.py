@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-PV = StructType.fromDDL("source string, year int, state string, candidate string, party string, candidate_votes long, state_total_votes long, reliability string")
+PV = "source string, year int, state string, candidate string, party string, candidate_votes long, state_total_votes long, reliability string"
+PV_COLUMNS = ["source", "year", "state", "candidate", "party", "candidate_votes", "state_total_votes", "reliability"]
 PV_KEY = ["source", "year", "state", "candidate"]
-PV_SOURCE = StructType.fromDDL("source string, precedence_rank int, redistributable boolean")
-ROSTER = StructType.fromDDL("source string, year int, state string, pv_status string, note string")
-CANDIDATE = StructType.fromDDL("candidate_id int, name string")
-VOTES = StructType.fromDDL(
+PV_SOURCE = "source string, precedence_rank int, redistributable boolean"
+ROSTER = "source string, year int, state string, pv_status string, note string"
+CANDIDATE = "candidate_id int, name string"
+VOTES = (
     "year int, state string, is_total boolean, candidate_id int, total_electoral_votes int, president_electoral_votes int,"
     " president_electoral_rank int, took_office boolean, count_status string, count_status_reason string, president_electoral_votes_counted int"
 )
 #: Years of the parsed nested record: two result tables a year.
-YEAR_RECORD = StructType.fromDDL(
+YEAR_RECORD = (
     "year int, t1 array<struct<president_candidate_name:string, president_candidate_party:string>>,"
     " t2 struct<candidate_state:array<struct<president_candidate_name:string, col_ind:int, president_candidate_state:string>>,"
     " votes_by_state:array<struct<state:string, total_electoral_votes:int, votes:map<int,int>>>, contested_cells:array<struct<state:string, col_ind:int>>>"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from psephos.constraints import Constraint, ConstraintError, check, check_not_empty, row_rule, sums_within, unique
 from psephos.operators.measures import fusion_collapse
-from psephos.schemas import CSV_COLUMNS, PV
+from psephos.schemas import CSV_COLUMNS, PV_COLUMNS
 
 KEY = ["year", "state", "candidate"]
 
@@ -55,4 +55,4 @@ def popular_votes(raw: DataFrame, source: str, states: DataFrame, names: DataFra
         F.col("candidatevotes").alias("candidate_votes"), F.col("totalvotes").alias("state_total_votes"), F.lit("exact").alias("reliability"),
     )
     check(unique(out, ["source", *KEY], "popular_vote_grain"))
-    return out.select(*PV.fieldNames())
+    return out.select(*PV_COLUMNS)

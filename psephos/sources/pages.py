@@ -145,14 +145,16 @@ def body_rows(results: DataFrame) -> DataFrame:
 
 
 def candidate_names(results: DataFrame) -> DataFrame:
-    """(page, col_ind, name, party, is_other): the header row of names is the lowest one, above the first numbers, with as
-    many wordy cells as there are groups; the row under it gives parties if it has a wordy cell for each name."""
+    """(page, col_ind, name, party, is_other). Header rows over the first numbers with as many wordy cells as there are groups
+    count: the first one gives names and the next one parties, but what the STATE row itself holds are parties. A cell of
+    two lines holds both. With one such row and one line there is no party.
+    """
     wordy = F.filter("cells", lambda c: (clean_label(c["text"]) != "") & ~F.upper(clean_label(c["text"])).isin(*STATE_HEADERS, "TOTAL VOTE", "TOTAL VOTES", "VOTES", "%", "EV", "TOTAL"))
     numeric = whole_number(F.get("cells", F.lit(1))["text"]).isNotNull()
     first = results.where(numeric & (F.col("width") == F.col("data_width"))).groupBy("page").agg(F.min("row_no").alias("first_row"))
     head = results.join(first, "page").where(F.col("row_no") < F.col("first_row")).withColumn("wordy", wordy)
     full = head.where((F.size("wordy") == F.col("groups")) & ~F.exists("wordy", lambda c: c["text"].rlike("(?i)legislature")))
-    order = Window.partitionBy("page").orderBy("row_no")
+    order = Window.partitionBy("page").orderBy(F.col("row_no") == F.col("state_row"), "row_no")
     lines = full.withColumn("line", F.row_number().over(order)).select("page", "line", F.posexplode("wordy").alias("at", "cell"))
     parts = F.filter(F.split(F.col("cell")["text"], "\n"), lambda x: clean_label(x) != "")
     cells = lines.select("page", "line", (F.col("at") + 1).alias("col_ind"), clean_label(F.get(parts, F.lit(0))).alias("text"), F.nullif(clean_label(F.get(parts, F.lit(1))), F.lit("")).alias("under"))
