@@ -195,7 +195,7 @@ def page_constraints(body: DataFrame, cells: DataFrame) -> list[Constraint]:
 def popular_votes_of_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(votes, status) of pages that keep their constraints: votes (page, label, name, party, total_votes, votes, percent) of
     state rows, without the column of other candidates and without absent cells; status (page, label, pv_status, note)."""
-    results = result_rows(page_rows(pages))
+    results = result_rows(page_rows(pages).persist())
     body = body_rows(results)
     cells = popular_cells(body)
     check(*page_constraints(body, cells))
