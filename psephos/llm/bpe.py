@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from psephos.llm.common import arrow_map, documents, texts_as_bytes
 from psephos.llm.tokens import word_bpe
 
-#: Bounds of what a worker keeps: encoded stretches, encoded words, pairs of tokens with their verdict, nodes of one trie.
-REMEMBERED = 300_000
+#: Bounds of what a worker keeps: encoded stretches and words (twice as many, see Kept), pairs of tokens with their verdict, nodes of one trie.
+REMEMBERED = 400_000
 PAIRS = 1_000_000
 NODES = 300_000
 #: Words of more symbols don't go into the trie; their path is walked alone, with the same states.
 LONGEST_IN_TRIE = 256
+#: Symbols by which the lengths of possible last tokens are looked up, and the lengths that are always tried.
+ENDING = 3
+SHORT = tuple(range(ENDING - 1, 0, -1))
 
 
 def byte_symbols() -> list[str]:
@@ -40,6 +43,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def sizes_by_ending(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """For each ending of ENDING symbols that a token has: the lengths a token with that ending may have, longest first."""
+    sizes: dict[str, set[int]] = {}
+    for t in table:
+        if len(t) >= ENDING:
+            sizes.setdefault(t[-ENDING:], set()).add(len(t))
+    return {e: (*sorted(found, reverse=True), *SHORT) for e, found in sizes.items()}
+
+
+class Kept:
+    """What has been worked out, in two generations: when the young one is full it becomes the old one, and what is met
+    again moves back. So what is frequent stays and what came once goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set) -> set:
+        """The keys in neither generation; the others are in the young one afterwards."""
+        new = keys.difference(self.young)
+        if self.old:
+            again = new.intersection(self.old)
+            self.young.update({k: self.old[k] for k in again})
+            new -= again
+        return new
+
+
 class TrieBpe:
     """Encodes words by the vocabulary, merges and end-of-word suffix of a tokenizers JSON file."""
 
@@ -60,12 +93,14 @@ class TrieBpe:
         # Tokens within a word and, without their suffix, tokens at its end: as they stand in the trie.
         self.inner = {t: i for t, i in self.vocab.items() if not (self.suffix and t.endswith(self.suffix))}
         self.final = {t.removesuffix(self.suffix): i for t, i in self.vocab.items() if t.endswith(self.suffix)} if self.suffix else self.inner
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.inner_sizes, self.final_sizes = sizes_by_ending(self.inner), sizes_by_ending(self.final)
         self.length = {i: len(t) for table in (self.inner, self.final) for t, i in table.items()}
         self.wholes: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[str, str]] = {}
-        self.stretches: dict[bytes, tuple[str, str]] = {}
+        self.digits = {i: f"{i} " for i in self.names}
+        self.spaced = {i: f"{t} " for i, t in self.names.items()}
+        self.words: Kept = Kept(REMEMBERED)
+        self.stretches: Kept = Kept(REMEMBERED)
 
     def _whole(self, token: int) -> bool:
         """Whether a token's own text encodes to it alone."""
@@ -102,9 +137,20 @@ class TrieBpe:
 
     def _last(self, word: str, n: int, states: list[int], table: dict[str, int]) -> int:
         """The last token of the first n symbols; states[d] is that of the first d, for each d below n."""
-        for size in range(min(n, self.longest), 0, -1):
+        fits = self.fits
+        for size in (self.inner_sizes if table is self.inner else self.final_sizes).get(word[max(0, n - ENDING) : n], SHORT):
+            if size > n:
+                continue
             token = table.get(word[n - size : n])
-            if token is not None and (self._stand(states[n - size], token) if size < n else self._whole(token)):
+            if token is None:
+                continue
+            if size == n:
+                if self._whole(token):
+                    return token
+                continue
+            left = states[n - size]
+            known = fits.get((left, token))
+            if known or (known is None and self._stand(left, token)):
                 return token
         raise ValueError(f"no token ends {word[:n]!r}")
 
@@ -165,40 +211,44 @@ class TrieBpe:
     def pre_tokens(self, text: str) -> list[str | int]:
         """Words in byte symbols, and added tokens as their ids, in the order of the text."""
         out: list[str | int] = []
-        for part in self.specials.split(text) if self.specials and any(a in text for a in self.added) else [text]:
+        for part in self.specials.split(text) if self.specials and self.specials.search(text) else [text]:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                plain = unicodedata.normalize("NFC", part)
-                plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
-                out.extend(w.encode("utf-8").decode("latin-1").translate(self.symbols) for w in self.split.findall(plain))
+                if part.isascii() and part.isprintable():
+                    out.extend(self.split.findall(part.lower()))  # these bytes are their own symbols
+                    continue
+                plain = "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
+                out.extend([w.encode("utf-8").decode("latin-1").translate(self.symbols) for w in self.split.findall(plain)])
         return out
 
     def _tell(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join(map(str, ids)), " ".join(self.names[i] for i in ids)
+        return "".join([self.digits[i] for i in ids]), "".join([self.spaced[i] for i in ids])
 
-    def stretches_of(self, texts: list[bytes | None]) -> list[list[tuple[str, str]]]:
-        """For each text: (ids, tokens) of each stretch between white space, both joined by spaces; stretches without ids are left out."""
+    def told(self, texts: list[bytes | None]) -> list[tuple[str, str]]:
+        """For each text its ids and its tokens, each joined by spaces."""
         split = [t.split() if t else [] for t in texts]
-        if len(self.stretches) > REMEMBERED:
-            self.stretches.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = {w: self.pre_tokens(w.decode("utf-8")) for w in set().union(*split).difference(self.stretches)}
-        words = {w for parts in new.values() for w in parts if isinstance(w, str)}.difference(self.words)
-        self.words.update((w, self._tell(ids)) for w, ids in self.encode_words(sorted(words)).items())
+        self.stretches.turn()
+        self.words.turn()
+        new = {w: self.pre_tokens(w.decode("utf-8")) for w in self.stretches.missing(set().union(*split))}
+        words = self.words.missing({w for parts in new.values() for w in parts if isinstance(w, str)})
+        self.words.young.update((w, self._tell(ids)) for w, ids in self.encode_words(sorted(words)).items())
+        known, young, tell = self.words.young, self.stretches.young, self._tell
         for w, parts in new.items():
-            told = [self.words[p] if isinstance(p, str) else (str(p), self.names[p]) for p in parts]
-            self.stretches[w] = told[0] if len(told) == 1 else (" ".join(t[0] for t in told), " ".join(t[1] for t in told))
-        out = [[t for t in map(self.stretches.__getitem__, s) if t[0]] for s in split]
+            each = [known[p] if isinstance(p, str) else tell([p]) for p in parts]
+            young[w] = each[0] if len(each) == 1 else ("".join([t[0] for t in each]), "".join([t[1] for t in each]))
+        out = []
+        for s in split:
+            pairs = list(map(young.__getitem__, s))
+            out.append(("".join([t[0] for t in pairs])[:-1], "".join([t[1] for t in pairs])[:-1]))
         for w in [w for w in new if len(w) > LONGEST_IN_TRIE]:
-            del self.stretches[w]
+            del young[w]
         for w in [w for w in words if len(w) > LONGEST_IN_TRIE]:
-            del self.words[w]
+            del known[w]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for t in self.stretches_of([text.encode("utf-8")])[0] for i in t[0].split(" ")]
+        return list(map(int, self.told([text.encode("utf-8")])[0][0].split()))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as a file without a decoder has them; unknown ids are left out."""
@@ -220,9 +270,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, texts: bool = True, text: st
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        told = trie_bpe(tokenizer).stretches_of(texts_as_bytes(batch.column(1)))
-        ids = [" ".join([t[0] for t in x]) for x in told]
-        decoded = [" ".join([t[1] for t in x]) for x in told]
+        told = trie_bpe(tokenizer).told(texts_as_bytes(batch.column(1)))
+        ids, decoded = [x[0] for x in told], [x[1] for x in told]
         n = [x.count(" ") + 1 if x else 0 for x in ids]
         if not texts:
             ids, decoded = ([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in column] for column in (ids, decoded))

@@ -7,7 +7,9 @@ before need not be encoded again.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from psephos.llm.common import arrow_map, texts_as_bytes
 
-#: Stretches that a worker remembers; when there are more it forgets them all and starts anew.
-REMEMBERED = 600_000
+#: Stretches that a worker remembers, twice over: see Kept.
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 
 
