@@ -12,6 +12,7 @@ vocabulary has an end-of-word suffix, so words end in edges of their own.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import arrow_map, documents, texts_as_bytes
+from psephos.llm.common import Kept, arrow_map, documents, texts_as_bytes
 from psephos.llm.tokens import word_bpe
 
 #: Bounds of what a worker keeps: encoded stretches and words (twice as many, see Kept), pairs of tokens with their verdict, nodes of one trie.
@@ -32,7 +33,7 @@ NODES = 300_000
 #: Words of more symbols don't go into the trie; their path is walked alone, with the same states.
 LONGEST_IN_TRIE = 256
 #: Symbols by which the lengths of possible last tokens are looked up, and the lengths that are always tried.
-ENDING = 3
+ENDING = 4
 SHORT = tuple(range(ENDING - 1, 0, -1))
 
 
@@ -52,27 +53,6 @@ def sizes_by_ending(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
     return {e: (*sorted(found, reverse=True), *SHORT) for e, found in sizes.items()}
 
 
-class Kept:
-    """What has been worked out, in two generations: when the young one is full it becomes the old one, and what is met
-    again moves back. So what is frequent stays and what came once goes."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def turn(self) -> None:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-
-    def missing(self, keys: set) -> set:
-        """The keys in neither generation; the others are in the young one afterwards."""
-        new = keys.difference(self.young)
-        if self.old:
-            again = new.intersection(self.old)
-            self.young.update({k: self.old[k] for k in again})
-            new -= again
-        return new
-
-
 class TrieBpe:
     """Encodes words by the vocabulary, merges and end-of-word suffix of a tokenizers JSON file."""
 
@@ -170,6 +150,13 @@ class TrieBpe:
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of distinct words, by one depth-first walk of their trie."""
+        gc.disable()  # the many nodes hold no cycles
+        try:
+            return self._encode_words(words)
+        finally:
+            gc.enable()
+
+    def _encode_words(self, words: list[str]) -> dict[str, list[int]]:
         out: dict[str, list[int]] = {}
         root: dict = {}
         nodes = 0

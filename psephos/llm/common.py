@@ -85,3 +85,24 @@ def bounded_sample(rows: DataFrame, key: Column, kind: Column, most: int) -> Dat
         share = F.lit(min(1.0, most / max(n, 1)))
         keep = keep | (kind.eqNullSafe(F.lit(value)) & (F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < share * (1 << 20)))
     return rows.where(keep)
+
+
+class Kept:
+    """What has been worked out, in two generations: when the young one is full it becomes the old one, and what is met
+    again moves back. So what is frequent stays and what came once goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set) -> set:
+        """The keys in neither generation; the others are in the young one afterwards."""
+        new = keys.difference(self.young)
+        if self.old:
+            again = new.intersection(self.old)
+            self.young.update({k: self.old[k] for k in again})
+            new -= again
+        return new

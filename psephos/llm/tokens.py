@@ -7,7 +7,6 @@ before need not be encoded again.
 
 from __future__ import annotations
 
-import json
 import zlib
 from array import array
 from functools import lru_cache
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import arrow_map, texts_as_bytes
+from psephos.llm.common import Kept, arrow_map, texts_as_bytes
 
 #: Stretches that a worker remembers, twice over: see Kept.
 REMEMBERED = 500_000
@@ -37,24 +36,20 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = kind
-        self.known: dict[bytes, bytes] = {}
+        self.known = Kept(REMEMBERED)
 
     def many(self, texts: list[bytes | None]) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        long = []
-        if new:
-            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            for w, e in zip(new, ids):
-                self.known[w] = np.array(e.ids, dtype=self.kind).tobytes()
-                if len(w) > LONGEST_REMEMBERED:
-                    long.append(w)
-        get = self.known.__getitem__
+        self.known.turn()
+        new = list(self.known.missing(set().union(*split)))
+        known = self.known.young
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes() if self.kind == "<u4" else np.array(e.ids, dtype=self.kind).tobytes()
+        get = known.__getitem__
         out = [b"".join(map(get, s)) for s in split]
-        for w in long:
-            del self.known[w]
+        for w in new:
+            if len(w) > LONGEST_REMEMBERED:
+                del known[w]
         return out
 
 
