@@ -87,6 +87,17 @@ def bounded_sample(rows: DataFrame, key: Column, kind: Column, most: int) -> Dat
     return rows.where(keep)
 
 
+_REMEMBERING: list = []
+
+
+def alone(owner) -> None:
+    """What a Python worker remembers for one operator goes when another one works in it, so that memory doesn't add up over stages."""
+    if not _REMEMBERING or _REMEMBERING[0] is not owner:
+        for other in _REMEMBERING:
+            other.forget()
+        _REMEMBERING[:] = [owner]
+
+
 class Kept:
     """What has been worked out, in two generations: when the young one is full it becomes the old one, and what is met
     again moves back. So what is frequent stays and what came once goes."""
@@ -94,6 +105,9 @@ class Kept:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def turn(self) -> None:
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.llm.calibration import temperature
-from psephos.llm.common import arrow_map, bounded_sample, documents, fold, labels, pieces, texts_as_bytes
+from psephos.llm.common import alone, arrow_map, bounded_sample, documents, fold, labels, pieces, texts_as_bytes
 
 BUCKETS, DIMS, NONZERO, WINDOW = 1 << 13, 48, 4, 2
 SAMPLE = 4000
@@ -61,7 +61,11 @@ class Tokens:
             out.append(self._bucket("p", rest))
         return np.array(out, dtype="<u2").tobytes()
 
+    def forget(self) -> None:
+        self.known.clear()
+
     def of(self, text: bytes | None) -> np.ndarray:
+        alone(self)
         words = text.split() if text else []
         known = self.known
         if len(known) > REMEMBERED:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from psephos.llm.common import arrow_map, documents, stored, texts_as_bytes
+from psephos.llm.common import alone, arrow_map, documents, stored, texts_as_bytes
 
 WINDOW, ANCHOR = 13, 5
 FILTER_BITS = 27
@@ -51,7 +51,11 @@ class WordHashes:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
+    def forget(self) -> None:
+        self.known.clear()
+
     def of(self, words: list[bytes]) -> np.ndarray:
+        alone(self)
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import Kept, arrow_map, texts_as_bytes
+from psephos.llm.common import Kept, alone, arrow_map, texts_as_bytes
 
 #: Stretches that a worker remembers, twice over: see Kept.
 REMEMBERED = 500_000
@@ -40,6 +40,7 @@ class Encoder:
 
     def many(self, texts: list[bytes | None]) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]
+        alone(self.known)
         self.known.turn()
         new = list(self.known.missing(set().union(*split)))
         known = self.known.young
