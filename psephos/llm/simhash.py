@@ -12,13 +12,16 @@ if they differ in at most 4 bits. Finding the links:
 
 Only distinct fingerprints are compared. A group gives the links of a spanning forest, not all its pairs. Groups of more
 than GROUP fingerprints are split into blocks, and every pair of blocks is compared by itself, so no task holds more.
+
+The pipeline's stage asks for similar texts instead (near_texts): the same keys of wider fingerprints give candidates at
+a larger radius, beyond what the keys guarantee, and the similarity is computed on the texts themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from psephos.llm.components import components
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GROUP = 20_000
+#: Fingerprints of 64 bits that near_texts takes of a text: one 128-bit hash of each shingle gives both.
+WIDE = 2
 #: Hashes counted at a time, so that a very long text needs little memory.
 STRETCH = 200_000
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -230,10 +235,175 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return prints.join(classes, "print", "left").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def lower_words(text: bytes | None) -> list[bytes]:
+    """Words as fingerprint() takes them."""
+    return (text or b"").lower().split()
+
+
+def shingle_set(words: list[bytes], size: int) -> set[bytes]:
+    """All runs of size words; a shorter text is one run, a text without words none."""
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def wide_print(shingles: set[bytes]) -> np.ndarray:
+    """WIDE fingerprints of 64 bits over the XXH3 hashes of distinct shingles, so that the bits follow Jaccard similarity."""
+    ones, n = np.zeros(64 * WIDE, dtype=np.int64), len(shingles)
+    rest = iter(shingles)
+    while part := b"".join(map(xxhash.xxh3_128_digest, islice(rest, STRETCH))):
+        ones += np.unpackbits(np.frombuffer(part, dtype=np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for rows of WIDE fingerprints: the fuzzy keys of each, numbered apart."""
+    found = [fuzzy_keys(prints[:, k]) for k in range(WIDE)]
+    return np.concatenate([r for r, _ in found]), np.concatenate([k + ((3 * n) << 24) for n, (_, k) in enumerate(found)])
+
+
+def first_shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The first key that two rows of fingerprints share (-1: none): of all groups where they meet one gives the pair."""
+    out = np.full(len(one), -1, dtype=np.int64)
+    for n in reversed(range(WIDE)):
+        shared = []
+        for at, size in SEGMENTS:
+            a, b = (golay_keys(((x[:, n] >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64)) for x in (one, other))
+            shared.append(np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, 1 << 12).min(axis=1))
+        for pair, (i, j) in reversed(list(enumerate(combinations(shared, 2)))):
+            out = np.where((i < 1 << 12) & (j < 1 << 12), ((3 * n + pair) << 24) | (i << 12) | j, out)
+    return out
+
+
+def pairs_in_order(bits: int, block: int = 256) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (group, key, node, prints) sorted by group: all pairs of a group within the radius whose first shared key is its key."""
+
+    def found(group: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            own = (first_shared(prints[i], prints[j]) == key[i]) & (node[i] != node[j])
+            a, b = node[i[own]], node[j[own]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        sizes = np.diff(np.append(first, len(group)))
+        small = np.repeat(sizes <= 32, sizes)
+        for step in range(1, int(min(32, sizes.max()))):
+            at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+            at = at[np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1) <= bits]
+            if len(at):
+                yield batch(at, at + step)
+        for at, n in zip(first[sizes > 32].tolist(), sizes[sizes > 32].tolist()):
+            for i in range(at, at + n, block):
+                for j in range(i, at + n, block):
+                    x, y = prints[i : min(i + block, at + n)], prints[j : min(j + block, at + n)]
+                    a, b = np.nonzero(sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(WIDE)) <= bits)
+                    a, b = a + i, b + j
+                    if (less := a < b).any():
+                        yield batch(a[less], b[less])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            group, key, node, *prints = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in rows.columns)
+            now = [group, key, node, np.stack(prints, axis=1).view(np.uint64)]
+            held.append(now)
+            if now[0][-1] == held[0][0][0]:
+                continue  # the group goes on
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            yield from found(*(x[:cut] for x in whole))
+            held = [[x[cut:] for x in whole]]
+        if held:
+            yield from found(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def near_pairs(distinct: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of rows of distinct (node, prints) that share a key and differ in at most so many bits, each once."""
+    prints = [f"p{k}" for k in range(WIDE)]
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        rows, keys = wide_keys(np.stack(columns, axis=1).view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), *(pa.array(c[rows]) for c in columns)], ["key", "node", *prints])
+
+    schema = ", ".join(f"{c} long" for c in ["key", "node", *prints])
+    rows = arrow_map(distinct.select("node", *prints), keyed, schema, rows=1000)
+    large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-groups")
+
+    def within(dealt: DataFrame) -> DataFrame:
+        return dealt.select("group", "key", "node", *prints).repartition("group").sortWithinPartitions("group").mapInArrow(pairs_in_order(bits), "a long, b long")
+
+    if large.isEmpty():
+        return within(rows.withColumn("group", F.col("key"))).distinct()
+    # As in links(): blocks of a large group, every two of them together.
+    blocks = F.ceil(F.col("n") / (GROUP // 2))
+    block = F.pmod(F.xxhash64("node"), blocks)
+    split = rows.join(large, "key").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    split = split.withColumn("group", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
+    return within(rows.join(large, "key", "left_anti").withColumn("group", F.col("key"))).unionByName(within(split)).distinct()
+
+
+def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bits: int = 34) -> DataFrame:
+    """(doc_id, node, component) of every document: components of texts with a Jaccard similarity of their sets of
+    shingles of at least the one given.
+
+    A node is the 64-bit hash of a text's words in lower case, so texts of the same words are one node (texts without
+    words too). Candidates are pairs that share a Golay key of WIDE fingerprints and differ in at most bits of their
+    64 * WIDE bits; the similarity is then computed on the texts. No pair below it is linked; what of the pairs above it
+    the keys miss is given in README. Of the candidates, each text's first one is looked at before the others, so that
+    of a large group of copies not all pairs need their texts.
+    """
+    prints = [f"p{k}" for k in range(WIDE)]
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, wide = [], []
+        for t in texts_as_bytes(batch.column(1)):
+            words = lower_words(t)
+            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+            wide.append(wide_print(shingle_set(words, shingle)))
+        columns = np.array(wide, dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *(pa.array(columns[:, k]) for k in range(WIDE))], ["doc_id", "node", *prints])
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes = [xxhash.xxh3_64_intdigest(b" ".join(lower_words(t))) for t in texts_as_bytes(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), batch.column(0)], ["node", "text"])
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for one, other in zip(texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3))):
+            x, y = (shingle_set(lower_words(t), shingle) for t in (one, other))
+            both = len(x & y)
+            keep.append(both >= similarity * (len(x) + len(y) - both))
+        mask = pa.array(keep, pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    marks = stored(arrow_map(whole, marked, "doc_id long, node long, " + ", ".join(f"{p} long" for p in prints)), "wide-prints")
+    pairs = stored(near_pairs(marks.select("node", *prints).distinct(), bits), "near-pairs")
+    if pairs.isEmpty():
+        return marks.select("doc_id", "node", F.col("node").alias("component"))
+    asked = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+    texts = stored(arrow_map(whole.select("text"), named, "node long, text string").join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked-texts")
+
+    def verified(some: DataFrame) -> DataFrame:
+        read = some.join(texts.withColumnsRenamed({"node": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b")
+        return stored(arrow_map(read.select("a", "b", "one", "other"), alike, "a long, b long", rows=64), "similar-pairs")
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tied = verified(first)
+    known = stored(components(tied), "tied")
+    of = [known.withColumnsRenamed({"node": n, "component": f"c{n}"}) for n in ("a", "b")]
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+    found = components(tied.unionByName(verified(rest)))
+    return marks.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs, all columns as they are, with one document of each component: that with the smallest doc_id."""
-    classes = near_duplicates(docs, text, doc_id)
-    kept = stored(classes.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "kept")
+    """docs, all columns as they are, with one document of each component of near_texts: that with the smallest doc_id."""
+    marks = near_texts(docs, text, doc_id)
+    kept = stored(marks.groupBy("component").agg(F.min("doc_id").alias(doc_id)).where(F.col(doc_id).isNotNull()).select(doc_id).distinct(), "kept")
     return docs.join(kept, doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
