@@ -345,6 +345,16 @@ def near_pairs(distinct: DataFrame, bits: int) -> DataFrame:
     return within(rows.join(large, "key", "left_anti").withColumn("group", F.col("key"))).unionByName(within(split)).distinct()
 
 
+def node_of(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
+
+
+def nodes_of_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(node, text) for rows of text."""
+    nodes = np.array([node_of(lower_words(t)) for t in texts_as_bytes(batch.column(0))], dtype=np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column(0)], ["node", "text"])
+
+
 def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bits: int = 34) -> DataFrame:
     """(doc_id, node, component) of every document: components of texts with a Jaccard similarity of their sets of
     shingles of at least the one given.
@@ -361,15 +371,11 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
         nodes, wide = [], []
         for t in texts_as_bytes(batch.column(1)):
             words = lower_words(t)
-            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+            nodes.append(node_of(words))
             wide.append(wide_print(shingle_set(words, shingle)))
         columns = np.array(wide, dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *(pa.array(columns[:, k]) for k in range(WIDE))], ["doc_id", "node", *prints])
 
-    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes = [xxhash.xxh3_64_intdigest(b" ".join(lower_words(t))) for t in texts_as_bytes(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), batch.column(0)], ["node", "text"])
-
     def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for one, other in zip(texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3))):
@@ -385,7 +391,7 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     if pairs.isEmpty():
         return marks.select("doc_id", "node", F.col("node").alias("component"))
     asked = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
-    texts = stored(arrow_map(whole.select("text"), named, "node long, text string").join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked-texts")
+    texts = stored(arrow_map(whole.select("text"), nodes_of_texts, "node long, text string").join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked-texts")
 
     def verified(some: DataFrame) -> DataFrame:
         read = some.join(texts.withColumnsRenamed({"node": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b")
@@ -401,10 +407,26 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs, all columns as they are, with one document of each component of near_texts: that with the smallest doc_id."""
+    """docs, all columns as they are, with one document of each component of near_texts: that with the smallest doc_id.
+
+    Rows that share this doc_id all stay. Of a component without any doc_id one row stays; rows with a null doc_id in
+    other components go.
+    """
     marks = near_texts(docs, text, doc_id)
-    kept = stored(marks.groupBy("component").agg(F.min("doc_id").alias(doc_id)).where(F.col(doc_id).isNotNull()).select(doc_id).distinct(), "kept")
-    return docs.join(kept, doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    least = stored(marks.groupBy("component").agg(F.min("doc_id").alias("least"), F.min("node").alias("node")), "least-of-each")
+    kept = stored(least.where(F.col("least").isNotNull()).select(F.col("least").alias(doc_id)).distinct(), "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(kept, doc_id, "left_semi").select(*columns)
+    nameless = stored(least.where(F.col("least").isNull()).select("node"), "nameless")
+    if nameless.isEmpty():
+        return out
+    row = F.struct(*columns)
+    rows = docs.where(F.col(f"`{doc_id}`").isNull()).select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    # Texts of the same words are one node; of its rows the one with the smallest text is taken.
+    named = arrow_map(rows.select("text").distinct(), nodes_of_texts, "node long, text string")
+    chosen = named.join(nameless, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    one = rows.join(chosen, rows["text"].eqNullSafe(chosen["text"])).groupBy("node").agg(F.first("row").alias("row"))
+    return out.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,3 +29,13 @@ def test_similar_texts_beyond_four_bits(spark):
     kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i for i in range(180) if i % 3 != 1} <= kept
     assert sum(i % 3 == 1 for i in kept) <= 3
+
+
+def test_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    copy, alone, other = " ".join(words), " ".join(f"x{k}" for k in range(100)), " ".join(f"y{k}" for k in range(100))
+    rows = [(1, copy, 0), (None, copy.upper(), 1), (None, alone, 2), (None, alone, 3), (None, alone + " end", 4), (None, other, 5), (None, None, 6), (None, "", 7)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    n = sorted(r["n"] for r in got)
+    assert n[0] == 0 and len(n) == 4 and n[1] in (2, 3, 4) and n[2] == 5 and n[3] in (6, 7)
+    assert all((r["doc_id"], r["text"], r["n"]) == rows[r["n"]] for r in got)
