@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation of words, then a score of the restored text.
 
-A character trigram model is counted over all documents. A word that may be disguised - symbols or digits among letters,
-runs of one letter, single letters set apart - becomes a lattice: each place offers the character itself, the letters it
+A character trigram model is counted over all documents. A word that may be disguised - letters with symbols or digits among
+them or at the ends, runs of one letter, single letters set apart - becomes a lattice: each place offers the character itself, the letters it
 may stand for, or nothing (separators, repeats), each at a channel cost; Viterbi decoding finds the cheapest path under
 the character model. Plain words have a lattice of one path and are left as they are.
 
@@ -87,10 +87,13 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
 class Restorer:
     """Restored words of texts under a character model; what it remembers is bounded."""
 
-    #: Letters around something else, a symbol that may be a letter at either end, or a run of one letter.
-    disguised = regex.compile(r"\p{L}[^\p{L}]+\p{L}|^[0-9@$|(€£!+]\p{L}|\p{L}[0-9@$|]$|(\p{L})\1\1")
+    #: A character that may stand for a letter or be a separator, or a run of one letter. A word with a letter and one of
+    #: these may be disguised, wherever in it they are.
+    disguised = regex.compile("[" + regex.escape("".join(sorted({*STANDS_FOR, *SEPARATORS}))) + r"]|(\p{L})\1\1")
+    letter = regex.compile(r"\p{L}")
     decoration = regex.compile(r"([^\p{L}\p{N}])\1+$")
     outer = ".,;:?\"'()[]{}<>«»“”„…"
+    voiceless = "".join(c for c in ".,;:?\"'()[]{}<>«»“”„…" if c not in STANDS_FOR)
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
@@ -135,13 +138,15 @@ class Restorer:
 
     def word(self, word: str) -> tuple[str, ...]:
         """The restored words of one word in lower case: its letters as they are and, where it may be disguised, decoded."""
-        plain = word.strip(self.outer)
+        # Signs that stand for no letter have no say at the ends; others are left for the lattice.
+        plain = word.strip(self.voiceless)
         if plain.isalpha() and not self.disguised.search(plain):
             return (plain,)
-        bare = self.decoration.sub("", word).strip(self.outer)
         out = regex.findall(r"\p{L}+", word)
-        if len(bare) <= LONGEST and self.disguised.search(bare):
-            out += regex.findall(r"\p{L}+", self.decode(bare))
+        # Signs at the ends may be letters or decoration: both readings count.
+        for reading in dict.fromkeys([word, self.decoration.sub("", word).strip(self.outer)]):
+            if len(reading) <= LONGEST and self.letter.search(reading) and self.disguised.search(reading):
+                out += regex.findall(r"\p{L}+", self.decode(reading))
         return tuple(dict.fromkeys(out))
 
     def spaced(self, split: list[str]) -> set[str]:
