@@ -2,8 +2,8 @@
 
 A character trigram model is counted over all documents. A word that may be disguised - letters with symbols or digits among
 them or at the ends, runs of one letter, single letters set apart - becomes a lattice: each place offers the character itself, the letters it
-may stand for, or nothing (separators, repeats), each at a channel cost; Viterbi decoding finds the cheapest path under
-the character model. Plain words have a lattice of one path and are left as they are.
+may stand for, nothing (separators, repeats) or, in a second reading, a border between words, each at a channel cost;
+Viterbi decoding finds the cheapest path under the character model, for words and stretches of any length. Plain words have a lattice of one path and are left as they are.
 
 Features are the restored words and their first LEAD letters. Their counts in toxic and other labelled documents come
 from a bounded sample, SAMPLE labelled rows of each label at most (about); those that speak clearly for label 1 form the
@@ -28,8 +28,8 @@ SAMPLE = 6000
 LEAD = (4, 5, 6)
 LEXICON = 20_000
 REMEMBERED = 400_000
-#: Words of more characters are no disguised words; they are split at what is no letter, without a lattice.
-LONGEST = 40
+#: What longer words restore to is not remembered but worked out each time.
+REMEMBERED_LENGTH = 160
 
 #: Characters and the letters they may stand for.
 STANDS_FOR = {
@@ -37,6 +37,7 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 SEPARATORS = set(".-_*~'`^/\\,:;")
+ENDS = "".join(sorted(SEPARATORS))
 #: Channel costs (negative log probabilities).
 AS_LETTER, AS_ITSELF, SKIPPED, ONE_OF_RUN, TWO_OF_RUN = 1.0, 6.0, 1.5, 0.5, 1.0
 
@@ -84,6 +85,15 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log((c + 4 * two[None, :, :]) / (c.sum(axis=2, keepdims=True) + 4))
 
 
+def _put(way: tuple | None) -> list[str]:
+    """What a way back (the way before, what was put) put, in order."""
+    out = []
+    while way is not None:
+        way, put = way
+        out.append(put)
+    return out[::-1]
+
+
 class Restorer:
     """Restored words of texts under a character model; what it remembers is bounded."""
 
@@ -99,32 +109,36 @@ class Restorer:
         self.costs = costs.tolist()
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
-        """For each place: (what is put there, its cost); runs of three or more of a letter are one place."""
-        places, k = [], 0
+    def places(self, word: str, borders: bool = False) -> Iterator[list[tuple[str, float]]]:
+        """For each place: (what is put there, its cost); runs of three or more of a letter are one place.
+
+        With borders, separators and spaces may as well be the border between two words.
+        """
+        k = 0
         while k < len(word):
             c = word[k]
             run = k
             while run < len(word) and word[run] == c:
                 run += 1
             if c.isalpha() and run - k >= 3:
-                places.append([(c, ONE_OF_RUN), (c * 2, TWO_OF_RUN)])
+                yield [(c, ONE_OF_RUN), (c * 2, TWO_OF_RUN)]
                 k = run
                 continue
             options = [(c, 0.0 if c.isalpha() else AS_ITSELF)]
             options += [(x, AS_LETTER) for x in STANDS_FOR.get(c, "")]
             if c in SEPARATORS or c == " ":
-                options += [("", SKIPPED)]
-            places.append(options)
+                options += [("", SKIPPED), *([(" ", SKIPPED)] if borders else [])]
+            yield options
             k += 1
-        return places
-
-    def decode(self, word: str) -> str:
-        """The cheapest path; states are the last two symbols."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self.lattice(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in sorted(best.items()):
+
+    def decode(self, word: str, borders: bool = False) -> str:
+        """The cheapest path; states are the last two symbols, each with its way back. Where one state is left, all ways
+        are the same up to it, so what they put is written out and let go."""
+        out: list[str] = []
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in self.places(word, borders):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, way) in sorted(best.items(), key=lambda x: x[0]):
                 for put, extra in options:
                     x, y, total = a, b, cost + extra
                     for c in put:
@@ -132,9 +146,14 @@ class Restorer:
                         total += self.costs[x][y][s]
                         x, y = y, s
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + put)
+                        after[x, y] = (total, (way, put) if put else way)
             best = after
-        return min((cost + self.costs[a][b][0], text) for (a, b), (cost, text) in best.items())[1]
+            if len(best) == 1:
+                [(state, (_, way))] = best.items()
+                out += _put(way)
+                best = {state: (0.0, None)}
+        way = min(((cost + self.costs[a][b][0], a, b, way) for (a, b), (cost, way) in best.items()), key=lambda x: x[:3])[3]
+        return "".join(out + _put(way))
 
     def word(self, word: str) -> tuple[str, ...]:
         """The restored words of one word in lower case: its letters as they are and, where it may be disguised, decoded."""
@@ -145,12 +164,14 @@ class Restorer:
         out = regex.findall(r"\p{L}+", word)
         # Signs at the ends may be letters or decoration: both readings count.
         for reading in dict.fromkeys([word, self.decoration.sub("", word).strip(self.outer)]):
-            if len(reading) <= LONGEST and self.letter.search(reading) and self.disguised.search(reading):
+            if self.letter.search(reading) and self.disguised.search(reading):
                 out += regex.findall(r"\p{L}+", self.decode(reading))
+                if not SEPARATORS.isdisjoint(reading.strip(ENDS)):
+                    out += regex.findall(r"\p{L}+", self.decode(reading, borders=True))
         return tuple(dict.fromkeys(out))
 
     def spaced(self, split: list[str]) -> set[str]:
-        """What stretches of three or more single characters set apart may be, tried as one word each, in parts of LONGEST."""
+        """What stretches of three or more single characters set apart may be: one word, or words with borders among them."""
         out: set[str] = set()
         run: list[str] = []
         for w in [*split, "--"]:
@@ -158,8 +179,8 @@ class Restorer:
                 run.append(w[0])
             elif run:
                 if len(run) >= 3:
-                    for at in range(0, len(run), LONGEST):
-                        out.update(regex.findall(r"\p{L}+", self.decode("".join(run[at : at + LONGEST]))))
+                    out.update(regex.findall(r"\p{L}+", self.decode("".join(run))))
+                    out.update(regex.findall(r"\p{L}+", self.decode(" ".join(run), borders=True)))
                 run = []
         return out
 
@@ -173,7 +194,7 @@ class Restorer:
         for w in distinct.difference(known):
             known[w] = self.word(w)
         out = self.spaced(split).union(*map(known.__getitem__, distinct))
-        for w in [w for w in distinct if len(w) > 4 * LONGEST]:
+        for w in [w for w in distinct if len(w) > REMEMBERED_LENGTH]:
             del known[w]
         return out
 
@@ -217,7 +238,7 @@ class ToxicityModel:
         for w in distinct.difference(hits):
             hits[w] = tuple(x for x in self.restorer.word(w) if self.weight(x))
         found = self.restorer.spaced(split).union(*filter(None, map(hits.__getitem__, distinct)))
-        for w in [w for w in distinct if len(w) > 4 * LONGEST]:
+        for w in [w for w in distinct if len(w) > REMEMBERED_LENGTH]:
             del hits[w]
         return sum(sorted(map(self.weight, found)))
 

@@ -31,3 +31,23 @@ def test_signs_around_words(restorer, word, meant):
 
 def test_no_letters_no_words(restorer):
     assert restorer.word("2024") == () and restorer.word("--") == ()
+
+
+@pytest.mark.parametrize("n", [3, 40, 41, 200_000])
+def test_long_runs(restorer, n):
+    assert "idiot" in restorer.word("idi" + "o" * n + "t")
+
+
+@pytest.mark.parametrize("word, meant", [("the-green-house-stands-near-a-small-river-where-idi0t-people-walk", "idiot"), ("you_are_an_id.i0t_in_the_morning_with_their_dogs_walk", "idiot")])
+def test_joined_words(restorer, word, meant):
+    assert meant in restorer.word(word)
+
+
+@pytest.mark.parametrize("text", ["you idiot", "the green house stands near a small river idiot people walk in the morning"])
+def test_spaced_stretches(restorer, text):
+    assert "idiot" in restorer.spaced([c for c in text if c != " "])
+
+
+def test_very_long_words(restorer):
+    word = "id107-" * 50_000
+    assert "idiot" in restorer.word(word)
