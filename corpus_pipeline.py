@@ -24,10 +24,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test or a learned rule rejects go."""
-    stats = stored(quality_rules.statistics(docs.select("doc_id", "text"), "stat_").drop("text"), "statistics")
-    learned = quality_rules.trained_rules(stats, labels(spark, sf_dir).where(fold(F.col("doc_id"), 5) != 0))
-    return quality_rules.rules_filter(docs, learned)
+    """Documents that the base test or a rule rejects go. The rules are learned as in op3, from the labelled rows of the
+    whole documents table: what the stages before let through has too few of label 0."""
+    known = labels(spark, sf_dir).where(fold(F.col("doc_id"), 5) != 0)
+    asked = documents(spark, sf_dir).select("doc_id", "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    stats = stored(quality_rules.statistics(asked, "stat_").drop("text"), "statistics")
+    return quality_rules.rules_filter(docs, quality_rules.trained_rules(stats, known))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
