@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from psephos.llm.bytelevel import byte_symbols
 from psephos.llm.common import Kept, arrow_map, documents, texts_as_bytes
 from psephos.llm.tokens import word_bpe
 
@@ -37,13 +38,6 @@ ENDING = 4
 SHORT = tuple(range(ENDING - 1, 0, -1))
 
 
-def byte_symbols() -> list[str]:
-    """The printable character for each byte, by the public byte-level rule: printable bytes stand for themselves, the others take the code points from 256 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 def sizes_by_ending(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
     """For each ending of ENDING symbols that a token has: the lengths a token with that ending may have, longest first."""
     sizes: dict[str, set[int]] = {}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,9 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a folder of our own only where that is unset (tests)."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset, a folder of our own if driver and executors are one process (tests), and an error on a cluster.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="psephos-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -47,21 +55,35 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist() if not pa.types.is_binary(column.type) else column.to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of a few rows, so that what a task unpacks at once stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def pieces(batch: pa.RecordBatch, rows: int | None = 256, together: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so many rows, or of so many bytes (one row may have more), so that what a task unpacks at once stays small."""
+    step = rows or max(1, batch.num_rows)
+    if together:
+        step = min(step, max(1, together * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        piece = batch.slice(at, step)
+        # Rows of very different lengths: what is still too large is halved.
+        waiting = [piece]
+        while waiting:
+            p = waiting.pop()
+            if together and p.num_rows > 1 and p.nbytes > 2 * together:
+                waiting += [p.slice(p.num_rows // 2), p.slice(0, p.num_rows // 2)]
+            else:
+                yield p
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 256) -> DataFrame:
-    """mapInArrow with a function of one small batch."""
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int | None = 256, together: int | None = None) -> DataFrame:
+    """mapInArrow with a function of one small batch. What the function remembers goes when the task ends."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, rows):
-                out = work(piece)
-                if out is not None and out.num_rows:
-                    yield out
+        try:
+            for batch in batches:
+                for piece in pieces(batch, rows, together):
+                    out = work(piece)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            forget_all()
 
     return df.mapInArrow(run, schema)
 
@@ -74,17 +96,19 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def bounded_sample(rows: DataFrame, key: Column, kind: Column, most: int) -> DataFrame:
-    """About `most` rows of each kind, chosen by a hash of key: the same rows whatever the partitions.
+def bounded_sample(rows: DataFrame, kind: str, most: int, *key: str) -> DataFrame:
+    """About `most` rows of each kind (not more but for chance), chosen by a hash of the key columns: the same rows
+    whatever the partitions. Rows with the same kind and key count once, so that copies of one row cannot fill the sample.
 
-    One count per kind is taken over all rows; a kind with fewer rows than `most` is taken whole.
+    One approximate count of distinct keys per kind is taken over all rows; a kind with fewer than `most` is taken whole.
     """
-    counts = {r["kind"]: r["n"] for r in rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = rows.withColumn("_draw", F.xxhash64(F.lit("sample"), *key))
+    counts = {r[kind]: r["n"] for r in drawn.groupBy(kind).agg(F.approx_count_distinct("_draw", 0.02).alias("n")).collect()}
     keep = F.lit(False)
     for value, n in counts.items():
-        share = F.lit(min(1.0, most / max(n, 1)))
-        keep = keep | (kind.eqNullSafe(F.lit(value)) & (F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < share * (1 << 20)))
-    return rows.where(keep)
+        share = min(1.0, most / max(n, 1))
+        keep = keep | (F.col(kind).eqNullSafe(F.lit(value)) & (F.pmod("_draw", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
+    return drawn.where(keep).dropDuplicates([kind, "_draw"]).drop("_draw")
 
 
 _REMEMBERING: list = []
@@ -98,6 +122,20 @@ def alone(owner) -> None:
         _REMEMBERING[:] = [owner]
 
 
+def forget_all() -> None:
+    """Give what this worker remembers, and the memory it lay in, back."""
+    if not _REMEMBERING:
+        return
+    for owner in _REMEMBERING:
+        owner.forget()
+    _REMEMBERING.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Kept:
     """What has been worked out, in two generations: when the young one is full it becomes the old one, and what is met
     again moves back. So what is frequent stays and what came once goes."""

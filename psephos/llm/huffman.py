@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import documents, new_path, stored
-from psephos.llm.tokens import crc, id_kind, ids_with_end, word_bpe
+from psephos.llm.common import documents, forget_all, new_path, pieces, stored
+from psephos.llm.tokens import TOGETHER, binaries, crc, encoder, id_kind, word_bpe
 
 LONGEST = 18
 BLOCK = 512
@@ -127,34 +127,54 @@ def decode(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray
     return out.T.reshape(-1)[:n]
 
 
-def token_counts(tokens: DataFrame, kind: str) -> DataFrame:
-    """(id, n): how often each id occurs; every task first adds up its own."""
+def tokens_and_counts(docs: DataFrame, tokenizer: str, end_id: int, kind: str, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, ids) of the documents (counts null) and, in the same pass over the texts, one row for each task with
+    counts: how many times the ids from 0 on occur in it, as 64-bit integers (ids null)."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
+        try:
+            for batch in batches:
+                for piece in pieces(batch, None, TOGETHER):
+                    ids, ends = encoder(tokenizer).many(piece.column(1), end_id)
+                    c = np.bincount(ids)
+                    if len(c) > len(total):
+                        total = np.pad(total, (0, len(c) - len(total)))
+                    total[: len(c)] += c
+                    yield pa.RecordBatch.from_arrays([piece.column(0), binaries(ids.astype(kind), ends), pa.nulls(len(ends), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+        finally:
+            forget_all()
+
+    names = ["doc_id", "ids", "counts"]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, counts binary")
+
+
+def token_counts(counted: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs, from the tasks' rows of tokens_and_counts."""
+
+    def used(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, dtype=kind))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+                n = np.frombuffer(x, dtype=np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return counted.select("counts").where("counts is not null").mapInArrow(used, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode every text and write the files described above. The vocabulary bounds what the driver holds.
 
-    A null text counts as empty (it has the end id alone); null doc_ids come first; rows that share a doc_id each keep
-    their place, ordered by their ids; an empty table gives a codebook without codes and no segment.
+    A null text counts as empty (it has the end id alone); null doc_ids come first; rows that share a doc_id (or have
+    none) each keep their place, ordered by a hash of their ids; an empty table gives a codebook without codes and no segment.
     """
     spark = docs.sparkSession
     kind = id_kind(tokenizer, end_id)
     width = np.dtype(kind).itemsize
-    tokens = stored(ids_with_end(docs, tokenizer, end_id, kind, text, doc_id), "tokens")
-    counted = {r["id"]: r["n"] for r in token_counts(tokens, kind).collect()}
+    tokens = stored(tokens_and_counts(docs, tokenizer, end_id, kind, text, doc_id), "tokens")
+    counted = {r["id"]: r["n"] for r in token_counts(tokens).collect()}
     counts = np.zeros(max(counted, default=0) + 1, dtype=np.int64)
     for k, n in counted.items():
         counts[k] = n
@@ -179,7 +199,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")])
 
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names.append(k)
                 held.append(x)
                 waiting += len(x) // width
@@ -188,7 +208,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if held:
             yield close()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # The hash and the row's place split rows that share a doc_id (or have none) over many parts.
+    placed = tokens.where("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    key = ["doc_id", "hash", "place"]
+    ordered = placed.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "ids")
     ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(f"{folder}/segments")
 
 

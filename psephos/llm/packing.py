@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import arrow_map, documents, stored, texts_as_bytes
-from psephos.llm.tokens import crc, encoder, word_bpe
+from psephos.llm.common import arrow_map, documents, stored
+from psephos.llm.tokens import TOGETHER, encoder, word_bpe
 
 CAPACITY = 4096
 #: Bins that a task keeps open at once. When all are open and none fits, the fullest one closes.
@@ -60,21 +61,19 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACI
     """(doc_id, piece, start, length, ids_crc32): every document's ids with the end id, in pieces of at most capacity."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, piece, start, length, crcs = [], [], [], [], []
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for name, x in zip(batch.column(0).to_pylist(), encoder(tokenizer).many(texts_as_bytes(batch.column(1)))):
-            ids = np.frombuffer(x + end, dtype="<u4")
-            for k, at in enumerate(range(0, len(ids), capacity)):
-                part = ids[at : at + capacity]
-                names.append(name)
-                piece.append(k)
-                start.append(at)
-                length.append(len(part))
-                crcs.append(crc(part))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([names, piece, start, length, crcs], kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        ids, ends = encoder(tokenizer).many(batch.column(1), end_id)
+        size = np.diff(ends, prepend=0)
+        count = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * capacity
+        length = np.minimum(size[row] - start, capacity)
+        first = (ends - size)[row] + start
+        raw = memoryview(ids).cast("B")
+        crcs = [zlib.crc32(raw[a:b]) for a, b in zip((4 * first).tolist(), (4 * (first + length)).tolist())]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, piece int, start long, length long, ids_crc32 long", rows=None, together=TOGETHER)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN_BINS) -> DataFrame:

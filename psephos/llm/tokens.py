@@ -1,63 +1,179 @@
-"""Token ids of whole texts by the tokenizers library, one encoding for each distinct stretch between white space.
+"""Token ids of whole texts by the tokenizers library, one encoding for each distinct word.
 
 The tokenizer file must drop white space between words (its pre-tokenizer keeps no white space and no rule of it
-reaches across one); then the ids of a text are those of its stretches, one after the other, and a stretch seen
-before need not be encoded again.
+reaches across one); then the ids of a text are those of its stretches between white space, one after the other. The
+distinct stretches of many texts are told apart by Arrow; those not met before are split into words by the file's own
+pattern, and each distinct word goes once through the library's model. Stretches with characters that normalization or
+added tokens could change go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import Kept, alone, arrow_map, texts_as_bytes
+from psephos.llm.bytelevel import byte_symbols
+from psephos.llm.common import Kept, alone, arrow_map
 
-#: Stretches that a worker remembers, twice over: see Kept.
-REMEMBERED = 500_000
+#: Stretches that a worker remembers within a task, twice over: see Kept.
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
+#: Bytes of text that are worked on together (or one longer text).
+TOGETHER = 2 << 20
+#: Words that go through the model in one call.
+WORDS = 4096
+#: Printable ASCII and precomposed Latin letters: NFC leaves them, and each has one lower-case character.
+PLAIN = regex.compile(r"[\x21-\x7e¡-¬®-įı-ž]+")
 
 
 class Encoder:
-    """many(texts) gives the ids of each text as little-endian unsigned integers of the type named."""
-
-    def __init__(self, path: str, kind: str = "<u4"):
-        import os
+    """many(texts) gives the ids of all texts in one array, and where each text ends in it."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = kind
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.pattern = None
+        if suffix and self._usual(spec):
+            # A word ends where a token with the suffix stands, so many words go through the model in one call.
+            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
+            self.added = [a["content"] for a in spec["added_tokens"]]
+            self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.known = Kept(REMEMBERED)
 
-    def many(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        alone(self.known)
+    @staticmethod
+    def _usual(spec: dict) -> bool:
+        """NFC and lower case, then a pattern whose matches are kept and put into byte symbols; anything else goes through the whole tokenizer."""
+        normalizer, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        steps = [n["type"] for n in normalizer.get("normalizers", [])]
+        parts = pre.get("pretokenizers", [])
+        return (
+            steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+            and "Regex" in parts[0]["pattern"] and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"] and spec.get("post_processor") is None
+        )
+
+    def _model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and where each word's end."""
+        ids, ends, at = [], [], 0
+        for k in range(0, len(words), WORDS):
+            some = [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.symbols) for w in words[k : k + WORDS]]
+            part = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.last[part]) + 1
+            if len(last) != len(some):
+                raise ValueError("the model gives words without an end-of-word token")
+            ids.append(part)
+            ends.append(last + at)
+            at += len(part)
+        return (np.concatenate(ids), np.concatenate(ends)) if ids else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+
+    def _whole(self, stretches: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+
+    def _stretches(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of distinct stretches, each as little-endian unsigned 32-bit integers."""
+        texts = [s.decode("utf-8", "replace") for s in stretches]
+        if self.pattern is None:
+            return self._whole(texts)
+        plain = [(t.isascii() and t.isprintable()) or bool(PLAIN.fullmatch(t)) for t in texts]
+        for a in self.added:
+            if any(a in t for t in texts):
+                plain = [p and a not in t for p, t in zip(plain, texts)]
+        out: list[bytes | None] = [None] * len(texts)
+        odd = [k for k, p in enumerate(plain) if not p]
+        for k, x in zip(odd, self._whole([texts[k] for k in odd])):
+            out[k] = x
+        even = [k for k, p in enumerate(plain) if p]
+        if even:
+            # One pass of the pattern over all of them; a line end stands after each and is a part of its own.
+            parts = pa.array(self.pattern.findall("\n".join([texts[k] for k in even]).lower() + "\n"), pa.string()).dictionary_encode()
+            words, place = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+            border = words.index("\n")
+            ids, ends = self._model(words[:border] + words[border + 1 :])
+            size = np.insert(np.diff(ends, prepend=0), border, 0)
+            first = np.insert(ends - np.diff(ends, prepend=0), border, 0)
+            flat, stop = gathered(ids, first[place], size[place])
+            raw, cuts = flat.tobytes(), (stop[np.flatnonzero(place == border)] * 4).tolist()
+            at = 0
+            for k, b in zip(even, cuts):
+                out[k] = raw[at:b]
+                at = b
+        return out
+
+    def forget(self) -> None:
+        self.known.forget()
+
+    def many(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of texts: all ids as unsigned 32-bit integers, and how many belong to the texts up to each one.
+
+        With end_id, it follows each text's ids. A null text counts as empty.
+        """
+        alone(self)
         self.known.turn()
-        new = list(self.known.missing(set().union(*split)))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        off = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(off[0], off[-1] - off[0]).cast(pa.binary()).dictionary_encode()
+        off -= off[0]
+        distinct, place = values_of(coded.dictionary), coded.indices.to_numpy()
+        new = list(self.known.missing(set(distinct)))
         known = self.known.young
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes() if self.kind == "<u4" else np.array(e.ids, dtype=self.kind).tobytes()
-        get = known.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
+        known.update(zip(new, self._stretches(new)))
+        held = list(map(known.__getitem__, distinct))
         for w in new:
             if len(w) > LONGEST_REMEMBERED:
                 del known[w]
-        return out
+        if end_id is not None:
+            place = np.insert(place, off[1:], len(held))
+            off += np.arange(len(off))
+            held.append(np.array([end_id], dtype="<u4").tobytes())
+        size = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) >> 2
+        flat, stop = gathered(np.frombuffer(b"".join(held), dtype="<u4"), (np.cumsum(size) - size)[place], size[place])
+        return flat, np.append(0, stop)[off[1:]]
+
+
+def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[first[0] : first[0] + size[0]], values[first[1] : ...] and so on in one array, and where each ends in it."""
+    stop = np.cumsum(size)
+    at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - (stop - size), size)
+    return values[at], stop
+
+
+def values_of(column: pa.BinaryArray) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32, count=column.offset + len(column) + 1)[column.offset :].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array whose values are the bytes of data, cut at ends (counted in items)."""
+    offsets = (np.append(0, ends) * data.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, kind: str = "<u4") -> Encoder:
-    """One for each Python worker, so that what it remembers serves the worker's later tasks too."""
-    return Encoder(path, kind)
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker; what it remembers goes when its task ends."""
+    return Encoder(path)
 
 
 def id_kind(path: str, end_id: int) -> str:
@@ -67,18 +183,17 @@ def id_kind(path: str, end_id: int) -> str:
 
 def ids_with_end(docs: DataFrame, path: str, end_id: int = 1, kind: str = "<u4", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids): ids of the whole text and then end_id, as integers of the type named; a null text counts as empty."""
-    end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x + end for x in encoder(path, kind).many(texts_as_bytes(batch.column(1)))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        ids, ends = encoder(path).many(batch.column(1), end_id)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends, prepend=0), pa.int64()), binaries(ids.astype(kind), ends)], ["doc_id", "n_tokens", "ids"])
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, n_tokens long, ids binary")
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, n_tokens long, ids binary", rows=None, together=TOGETHER)
 
 
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
 def word_bpe() -> str:
