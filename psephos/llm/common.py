@@ -55,33 +55,46 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist() if not pa.types.is_binary(column.type) else column.to_pylist()
 
 
-def pieces(batch: pa.RecordBatch, rows: int | None = 256, together: int | None = None) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of so many rows, or of so many bytes (one row may have more), so that what a task unpacks at once stays small."""
-    step = rows or max(1, batch.num_rows)
-    if together:
-        step = min(step, max(1, together * batch.num_rows // max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, step):
-        piece = batch.slice(at, step)
-        # Rows of very different lengths: what is still too large is halved.
-        waiting = [piece]
-        while waiting:
-            p = waiting.pop()
-            if together and p.num_rows > 1 and p.nbytes > 2 * together:
-                waiting += [p.slice(p.num_rows // 2), p.slice(0, p.num_rows // 2)]
-            else:
-                yield p
+def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of a few rows, so that what a task unpacks at once stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
 
+def regrouped(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes, or of one row, as large as that allows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int | None = 256, together: int | None = None) -> DataFrame:
-    """mapInArrow with a function of one small batch. What the function remembers goes when the task ends."""
+    def put_together() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        waiting = [batch] if batch.num_rows else []
+        while waiting:
+            piece = waiting.pop()
+            if piece.num_rows > 1 and piece.nbytes > most:
+                half = piece.num_rows // 2
+                waiting += [piece.slice(half), piece.slice(0, half)]
+                continue
+            if held and size + piece.nbytes > most:
+                yield put_together()
+                held, size = [], 0
+            held.append(piece)
+            size += piece.nbytes
+    if held:
+        yield put_together()
+
+
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 256, together: int | None = None) -> DataFrame:
+    """mapInArrow with a function of batches of a few rows or, with together, of so many bytes. What the function remembers goes when the task ends."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for batch in batches:
-                for piece in pieces(batch, rows, together):
-                    out = work(piece)
-                    if out is not None and out.num_rows:
-                        yield out
+            for piece in regrouped(batches, together) if together else (p for b in batches for p in pieces(b, rows)):
+                out = work(piece)
+                if out is not None and out.num_rows:
+                    yield out
         finally:
             forget_all()
 

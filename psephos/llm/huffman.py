@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import documents, forget_all, new_path, pieces, stored
+from psephos.llm.common import documents, new_path, regrouped, stored
 from psephos.llm.tokens import TOGETHER, binaries, crc, encoder, id_kind, word_bpe
 
 LONGEST = 18
@@ -80,17 +80,25 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[byt
     """The bits of ids and the bit offset of each block."""
     if len(ids) == 0:
         return b"", np.zeros(0, dtype="<u8")
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    starts = ends - size
-    placed = codes[ids] << (64 - size - (starts & 31)).astype(np.uint64)
-    word = starts >> 5
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    out = np.zeros(int(ends[-1] >> 5) + 2, dtype=np.uint64)
-    # Codes share no bit, so a sum puts them together; every word has a code that starts in it, up to the last.
-    out[word[first]] += np.add.reduceat(placed >> np.uint64(32), first)
-    out[word[first] + 1] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), first)
-    return out.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], starts[::BLOCK].astype("<u8")
+    out = np.zeros(len(ids) * LONGEST // 32 + 2, dtype=np.uint64)
+    checkpoints, at = [], 0
+    # A few blocks at a time, so that what is computed stays in the processor's cache.
+    for k in range(0, len(ids), 64 * BLOCK):
+        part = ids[k : k + 64 * BLOCK]
+        size = lengths[part]
+        ends = np.cumsum(size, dtype=np.int64)
+        ends += at
+        starts = ends - size
+        placed = codes[part] << (64 - size - (starts & 31)).astype(np.uint64)
+        word = starts >> 5
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        word = word[first]
+        # Codes share no bit, so a sum puts them together; every word has a code that starts in it, up to the last.
+        out[word] += np.add.reduceat(placed >> np.uint64(32), first)
+        out[word + 1] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), first)
+        checkpoints.append(starts[::BLOCK])
+        at = int(ends[-1])
+    return out[: (at >> 5) + 1].astype(">u4").tobytes()[: (at + 7) // 8], np.concatenate(checkpoints).astype("<u8")
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,18 +141,14 @@ def tokens_and_counts(docs: DataFrame, tokenizer: str, end_id: int, kind: str, t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
-        try:
-            for batch in batches:
-                for piece in pieces(batch, None, TOGETHER):
-                    ids, ends = encoder(tokenizer).many(piece.column(1), end_id)
-                    c = np.bincount(ids)
-                    if len(c) > len(total):
-                        total = np.pad(total, (0, len(c) - len(total)))
-                    total[: len(c)] += c
-                    yield pa.RecordBatch.from_arrays([piece.column(0), binaries(ids.astype(kind), ends), pa.nulls(len(ends), pa.binary())], names)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
-        finally:
-            forget_all()
+        for piece in regrouped(batches, TOGETHER):
+            ids, ends = encoder(tokenizer).many(piece.column(1), end_id)
+            c = np.bincount(ids)
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
+            yield pa.RecordBatch.from_arrays([piece.column(0), binaries(ids.astype(kind), ends), pa.nulls(len(ends), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     names = ["doc_id", "ids", "counts"]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

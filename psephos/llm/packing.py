@@ -73,7 +73,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACI
         crcs = [zlib.crc32(raw[a:b]) for a, b in zip((4 * first).tolist(), (4 * (first + length)).tolist())]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, piece int, start long, length long, ids_crc32 long", rows=None, together=TOGETHER)
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, piece int, start long, length long, ids_crc32 long", together=TOGETHER)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN_BINS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The tokenizer file must drop white space between words (its pre-tokenizer keeps no white space and no rule of it
 reaches across one); then the ids of a text are those of its stretches between white space, one after the other. The
-distinct stretches of many texts are told apart by Arrow; those not met before are split into words by the file's own
+distinct stretches of many texts are told apart by Arrow; they are split into words by the file's own
 pattern, and each distinct word goes once through the library's model. Stretches with characters that normalization or
 added tokens could change go through the whole tokenizer.
 """
@@ -22,13 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.bytelevel import byte_symbols
-from psephos.llm.common import Kept, alone, arrow_map
+from psephos.llm.common import arrow_map
 
-#: Stretches that a worker remembers within a task, twice over: see Kept.
-REMEMBERED = 200_000
-LONGEST_REMEMBERED = 64
-#: Bytes of text that are worked on together (or one longer text).
-TOGETHER = 2 << 20
+#: Bytes of text whose distinct stretches are worked out together (or one longer text).
+TOGETHER = 16 << 20
 #: Words that go through the model in one call.
 WORDS = 4096
 #: Printable ASCII and precomposed Latin letters: NFC leaves them, and each has one lower-case character.
@@ -58,7 +55,6 @@ class Encoder:
             self.words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
             self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
             self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
-        self.known = Kept(REMEMBERED)
 
     @staticmethod
     def _usual(spec: dict) -> bool:
@@ -72,18 +68,19 @@ class Encoder:
         )
 
     def _model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, one after the other, and where each word's end."""
-        ids, ends, at = [], [], 0
+        """Ids of distinct words, one after the other, and how many each word has (an empty one none)."""
+        ids, sizes = [], []
         for k in range(0, len(words), WORDS):
             some = [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.symbols) for w in words[k : k + WORDS]]
             part = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            size = np.array([1 if w else 0 for w in some], dtype=np.int32)
             last = np.flatnonzero(self.last[part]) + 1
-            if len(last) != len(some):
+            if len(last) != size.sum():
                 raise ValueError("the model gives words without an end-of-word token")
+            size[size > 0] = np.diff(last, prepend=0)
             ids.append(part)
-            ends.append(last + at)
-            at += len(part)
-        return (np.concatenate(ids), np.concatenate(ends)) if ids else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _whole(self, stretches: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
@@ -107,10 +104,8 @@ class Encoder:
             parts = pa.array(self.pattern.findall("\n".join([texts[k] for k in even]).lower() + "\n"), pa.string()).dictionary_encode()
             words, place = parts.dictionary.to_pylist(), parts.indices.to_numpy()
             border = words.index("\n")
-            ids, ends = self._model(words[:border] + words[border + 1 :])
-            size = np.insert(np.diff(ends, prepend=0), border, 0)
-            first = np.insert(ends - np.diff(ends, prepend=0), border, 0)
-            flat, stop = gathered(ids, first[place], size[place])
+            words[border] = ""
+            flat, stop = assembled(*self._model(words), place)
             raw, cuts = flat.tobytes(), (stop[np.flatnonzero(place == border)] * 4).tolist()
             at = 0
             for k, b in zip(even, cuts):
@@ -118,42 +113,33 @@ class Encoder:
                 at = b
         return out
 
-    def forget(self) -> None:
-        self.known.forget()
-
     def many(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of texts: all ids as unsigned 32-bit integers, and how many belong to the texts up to each one.
 
         With end_id, it follows each text's ids. A null text counts as empty.
         """
-        alone(self)
-        self.known.turn()
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         off = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(off[0], off[-1] - off[0]).cast(pa.binary()).dictionary_encode()
         off -= off[0]
-        distinct, place = values_of(coded.dictionary), coded.indices.to_numpy()
-        new = list(self.known.missing(set(distinct)))
-        known = self.known.young
-        known.update(zip(new, self._stretches(new)))
-        held = list(map(known.__getitem__, distinct))
-        for w in new:
-            if len(w) > LONGEST_REMEMBERED:
-                del known[w]
+        place, held = coded.indices.to_numpy(), self._stretches(values_of(coded.dictionary))
         if end_id is not None:
             place = np.insert(place, off[1:], len(held))
             off += np.arange(len(off))
             held.append(np.array([end_id], dtype="<u4").tobytes())
-        size = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) >> 2
-        flat, stop = gathered(np.frombuffer(b"".join(held), dtype="<u4"), (np.cumsum(size) - size)[place], size[place])
+        sizes = np.fromiter(map(len, held), dtype=np.int32, count=len(held)) >> 2
+        flat, stop = assembled(np.frombuffer(b"".join(held), dtype="<u4"), sizes, place)
         return flat, np.append(0, stop)[off[1:]]
 
 
-def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[first[0] : first[0] + size[0]], values[first[1] : ...] and so on in one array, and where each ends in it."""
+def assembled(ids: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids holds parts of the sizes given; the parts place[0], place[1] and so on in one array, and where each ends in it."""
+    size = sizes[place]
     stop = np.cumsum(size)
-    at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - (stop - size), size)
-    return values[at], stop
+    n = int(stop[-1]) if len(stop) else 0
+    at = np.arange(n, dtype=np.int32 if max(n, len(ids)) < 1 << 31 else np.int64)
+    at += np.repeat(((np.cumsum(sizes) - sizes)[place] - (stop - size)).astype(at.dtype), size)
+    return ids[at], stop
 
 
 def values_of(column: pa.BinaryArray) -> list[bytes]:
@@ -172,7 +158,7 @@ def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker; what it remembers goes when its task ends."""
+    """One for each Python worker; it remembers no texts."""
     return Encoder(path)
 
 
@@ -188,7 +174,7 @@ def ids_with_end(docs: DataFrame, path: str, end_id: int = 1, kind: str = "<u4",
         ids, ends = encoder(path).many(batch.column(1), end_id)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends, prepend=0), pa.int64()), binaries(ids.astype(kind), ends)], ["doc_id", "n_tokens", "ids"])
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, n_tokens long, ids binary", rows=None, together=TOGETHER)
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, n_tokens long, ids binary", together=TOGETHER)
 
 
 def crc(ids: np.ndarray) -> int:
