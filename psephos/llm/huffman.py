@@ -14,6 +14,7 @@ A segment closes at SEGMENT ids, so its size is bounded by that and by one docum
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.llm.common import documents, new_path, regrouped, stored
-from psephos.llm.tokens import TOGETHER, binaries, crc, encoder, id_kind, word_bpe
+from psephos.llm.tokens import TOGETHER, binaries, encoder, id_kind, word_bpe
 
 LONGEST = 18
 BLOCK = 512
@@ -240,14 +241,16 @@ def read_token_files(spark: SparkSession, folder: str, only_crc: bool = False) -
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
+                r = {c: batch.column(c)[k] for c in ("part", "within", "n_tokens", "checkpoints", "bits")}
+                r = {c: v.as_py() for c, v in r.items()}
+                names, each = (batch.column(c)[k].values for c in ("doc_ids", "doc_tokens"))
                 ids = decode(r["bits"], np.frombuffer(r["checkpoints"], dtype="<u8"), r["n_tokens"], _table(sizes))
-                ends = np.cumsum(r["doc_tokens"])
-                first = ends - r["doc_tokens"]
-                each = [ids[a:b] for a, b in zip(first, ends)]
-                last = pa.array([crc(x) for x in each], pa.int64()) if only_crc else pa.array([x.tobytes() for x in each], pa.binary())
+                ends = np.cumsum(each.to_numpy())
+                first = ends - each.to_numpy()
+                raw = memoryview(ids).cast("B")
+                last = pa.array([zlib.crc32(raw[a:b]) for a, b in zip((4 * first).tolist(), (4 * ends).tolist())], pa.int64()) if only_crc else binaries(ids, ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(first + before[r["part"]] + r["within"], pa.int64()), pa.array(r["doc_tokens"], pa.int64()), last],
+                    [names, pa.array(first + before[r["part"]] + r["within"], pa.int64()), each, last],
                     ["doc_id", "start", "n_tokens", "ids_crc32" if only_crc else "ids"],
                 )
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +27,8 @@ from psephos.llm.common import arrow_map
 TOGETHER = 16 << 20
 #: Words that go through the model in one call.
 WORDS = 4096
-#: Printable ASCII and precomposed Latin letters: NFC leaves them, and each has one lower-case character.
-PLAIN = regex.compile(r"[\x21-\x7e¡-¬®-įı-ž]+")
+#: All but printable ASCII and precomposed Latin letters, which NFC leaves and which each have one lower-case character.
+UNUSUAL = regex.compile(r"[^\n\x21-\x7e¡-¬®-įı-ž]")
 
 
 class Encoder:
@@ -49,8 +48,9 @@ class Encoder:
         if suffix and self._usual(spec):
             # A word ends where a token with the suffix stands, so many words go through the model in one call.
             self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
-            self.added = [a["content"] for a in spec["added_tokens"]]
-            self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
+            self.added = regex.compile("|".join(regex.escape(a["content"]) for a in spec["added_tokens"]) or "(?!)")
+            # A space stays, as it stands between words.
+            self.symbols = str.maketrans({b: c for b, c in enumerate(byte_symbols()) if b != 32})
             self.words = Tokenizer(self.tokenizer.model)
             self.words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
             self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
@@ -71,8 +71,11 @@ class Encoder:
         """Ids of distinct words, one after the other, and how many each word has (an empty one none)."""
         ids, sizes = [], []
         for k in range(0, len(words), WORDS):
-            some = [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.symbols) for w in words[k : k + WORDS]]
-            part = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            some = words[k : k + WORDS]
+            joined = " ".join(some)
+            if not joined.isascii():
+                joined = joined.encode("utf-8").decode("latin-1").translate(self.symbols)
+            part = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             size = np.array([1 if w else 0 for w in some], dtype=np.int32)
             last = np.flatnonzero(self.last[part]) + 1
             if len(last) != size.sum():
@@ -82,36 +85,44 @@ class Encoder:
             sizes.append(size)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _whole(self, stretches: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-
-    def _stretches(self, stretches: list[bytes]) -> list[bytes]:
-        """The ids of distinct stretches, each as little-endian unsigned 32-bit integers."""
-        texts = [s.decode("utf-8", "replace") for s in stretches]
-        if self.pattern is None:
-            return self._whole(texts)
-        plain = [(t.isascii() and t.isprintable()) or bool(PLAIN.fullmatch(t)) for t in texts]
-        for a in self.added:
-            if any(a in t for t in texts):
-                plain = [p and a not in t for p, t in zip(plain, texts)]
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [k for k, p in enumerate(plain) if not p]
-        for k, x in zip(odd, self._whole([texts[k] for k in odd])):
-            out[k] = x
-        even = [k for k, p in enumerate(plain) if p]
-        if even:
+    def _whole(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _model, of any stretches, by the whole tokenizer."""
+        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *found]), np.array([len(x) for x in found], dtype=np.int32)
+
+    def _odd(self, texts: list[str], joined: str) -> np.ndarray:
+        """Which of texts, of which joined is made with line ends between, the whole tokenizer has to see."""
+        odd = np.zeros(len(texts), dtype=bool)
+        at = [m.start() for m in UNUSUAL.finditer(joined)] + [m.start() for m in self.added.finditer(joined)]
+        if at:
+            ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+            odd[np.searchsorted(ends, at, side="right")] = True
+        return odd
+
+    def _stretches(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size): each distinct stretch's ids are ids[first : first + size]."""
+        joined = b"\n".join(stretches).decode("utf-8", "replace")
+        texts = joined.split("\n")[: len(stretches)]
+        odd = np.ones(len(texts), dtype=bool) if self.pattern is None else self._odd(texts, joined)
+        size = np.zeros(len(texts), dtype=np.int32)
+        ids, size[odd] = self._whole([texts[k] for k in np.flatnonzero(odd).tolist()])
+        first = np.zeros(len(texts), dtype=np.int64)
+        first[odd] = np.cumsum(size[odd]) - size[odd]
+        if not odd.all():
+            if odd.any():
+                joined = "\n".join([texts[k] for k in np.flatnonzero(~odd).tolist()])
             # One pass of the pattern over all of them; a line end stands after each and is a part of its own.
-            parts = pa.array(self.pattern.findall("\n".join([texts[k] for k in even]).lower() + "\n"), pa.string()).dictionary_encode()
+            parts = pa.array(self.pattern.findall(joined.lower() + "\n"), pa.string()).dictionary_encode()
             words, place = parts.dictionary.to_pylist(), parts.indices.to_numpy()
             border = words.index("\n")
             words[border] = ""
-            flat, stop = assembled(*self._model(words), place)
-            raw, cuts = flat.tobytes(), (stop[np.flatnonzero(place == border)] * 4).tolist()
-            at = 0
-            for k, b in zip(even, cuts):
-                out[k] = raw[at:b]
-                at = b
-        return out
+            of_words, sizes = self._model(words)
+            more, stop = assembled(of_words, np.cumsum(sizes) - sizes, sizes, place)
+            stop = stop[np.flatnonzero(place == border)]
+            size[~odd] = np.diff(stop, prepend=0)
+            first[~odd] = len(ids) + stop - size[~odd]
+            ids = np.concatenate([ids, more])
+        return ids, first, size
 
     def many(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of texts: all ids as unsigned 32-bit integers, and how many belong to the texts up to each one.
@@ -122,23 +133,22 @@ class Encoder:
         off = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(off[0], off[-1] - off[0]).cast(pa.binary()).dictionary_encode()
         off -= off[0]
-        place, held = coded.indices.to_numpy(), self._stretches(values_of(coded.dictionary))
+        place, (ids, first, size) = coded.indices.to_numpy(), self._stretches(values_of(coded.dictionary))
         if end_id is not None:
-            place = np.insert(place, off[1:], len(held))
+            place = np.insert(place, off[1:], len(first))
             off += np.arange(len(off))
-            held.append(np.array([end_id], dtype="<u4").tobytes())
-        sizes = np.fromiter(map(len, held), dtype=np.int32, count=len(held)) >> 2
-        flat, stop = assembled(np.frombuffer(b"".join(held), dtype="<u4"), sizes, place)
+            ids, first, size = np.append(ids, np.uint32(end_id)), np.append(first, len(ids)), np.append(size, np.int32(1))
+        flat, stop = assembled(ids, first, size, place)
         return flat, np.append(0, stop)[off[1:]]
 
 
-def assembled(ids: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids holds parts of the sizes given; the parts place[0], place[1] and so on in one array, and where each ends in it."""
+def assembled(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Part k is ids[first[k] : first[k] + sizes[k]]; the parts place[0], place[1] and so on in one array, and where each ends in it."""
     size = sizes[place]
-    stop = np.cumsum(size)
+    stop = np.cumsum(size, dtype=np.int64)
     n = int(stop[-1]) if len(stop) else 0
     at = np.arange(n, dtype=np.int32 if max(n, len(ids)) < 1 << 31 else np.int64)
-    at += np.repeat(((np.cumsum(sizes) - sizes)[place] - (stop - size)).astype(at.dtype), size)
+    at += np.repeat((first[place] - (stop - size)).astype(at.dtype), size)
     return ids[at], stop
 
 
@@ -177,11 +187,6 @@ def ids_with_end(docs: DataFrame, path: str, end_id: int = 1, kind: str = "<u4",
     return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, "doc_id long, n_tokens long, ids binary", together=TOGETHER)
 
 
-def crc(ids: np.ndarray) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
-
-
 def word_bpe() -> str:
     import public_tokenizers
 
