@@ -124,6 +124,27 @@ def bounded_sample(rows: DataFrame, kind: str, most: int, *key: str) -> DataFram
     return drawn.where(keep).dropDuplicates([kind, "_draw"]).drop("_draw")
 
 
+def labelled_ids(labelled: DataFrame, label: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label) of about `sample` ids of each label at most, and how many ids have each label.
+
+    Of an id with several labels the greatest counts; null ids and labels other than 0 and 1 are left out.
+    """
+    known = labelled.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return bounded_sample(known, "label", sample, "doc_id"), counts
+
+
+def labelled_texts(docs: DataFrame, labelled: DataFrame, label: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of about `sample` rows of each label at most, and how many ids have each label.
+
+    The second draw bounds the rows where many share one id.
+    """
+    drawn, counts = labelled_ids(labelled, label, sample)
+    # At most about 2 * sample ids of 8 bytes: that bound makes the broadcast safe.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
+    return bounded_sample(texts, "label", sample, "doc_id", "text"), counts
+
+
 _REMEMBERING: list = []
 
 

@@ -2,7 +2,8 @@
 
 Trained by follow-the-regularised-leader with elastic-net penalties, then calibrated by a temperature. n-grams of 1 to 3
 lower-case characters are hashed to FEATURES columns. Document frequencies come from every training text; the regression
-sees a bounded sample, SAMPLE rows of each language at most (about), chosen by a hash of doc_id.
+sees a bounded sample, SAMPLE rows of each language at most (about), chosen by a hash of doc_id and text; copies of one
+row count once.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def train_language_model(training: DataFrame, sample: int = SAMPLE, text: str =
             ["lang", "doc_id", "used", "weight"],
         )
 
-    drawn = bounded_sample(rows, F.col("doc_id"), F.col("lang"), sample)
+    drawn = bounded_sample(rows, "lang", sample, "doc_id", "text")
     some = sorted(arrow_map(drawn, vectors, "lang string, doc_id long, used binary, weight binary").collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["used"]))
     languages = sorted({r["lang"] for r in some})
     if not languages:

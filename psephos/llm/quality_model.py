@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.llm.calibration import temperature
-from psephos.llm.common import alone, arrow_map, bounded_sample, documents, fold, labels, pieces, texts_as_bytes
+from psephos.llm.common import alone, arrow_map, documents, fold, forget_all, labelled_texts, labels, pieces, texts_as_bytes
 
 BUCKETS, DIMS, NONZERO, WINDOW = 1 << 13, 48, 4, 2
 SAMPLE = 4000
-HIDDEN = 24
+HIDDEN, EPOCHS = 24, 40
 REPEAT, CAPITALS = 0, 1
 CHUNK = 128
-REMEMBERED = 600_000
+#: Words that a worker remembers within a task; longer ones than LONGEST_REMEMBERED bytes are worked out each time.
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
 #: A document is pooled in stretches of so many tokens, so that a very long one needs little memory.
 STRETCH = 200_000
 
@@ -70,9 +71,12 @@ class Tokens:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(words).difference(known):
+        new = set(words).difference(known)
+        for w in new:
             known[w] = self._word(w)
         out = np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u2").astype(np.int64)
+        for w in [w for w in new if len(w) > LONGEST_REMEMBERED]:
+            del known[w]
         if len(out) > 1:
             out[1:][out[1:] == out[:-1]] = REPEAT
         return out
@@ -99,16 +103,19 @@ def context_sums(texts: DataFrame) -> np.ndarray:
                         total[:] += np.bincount(x * DIMS + where[y, k], weights=sign[y, k], minlength=BUCKETS * DIMS)
 
         gap, waiting = np.full(WINDOW, -1), 0
-        for batch in batches:
-            for piece in pieces(batch):
-                for t in texts_as_bytes(piece.column(0)):
-                    held += [TOKENS.of(t), gap]
-                    waiting += len(held[-2])
-                    if waiting > STRETCH:
-                        add(np.concatenate(held))
-                        held, waiting = [], 0
-        if held:
-            add(np.concatenate(held))
+        try:
+            for batch in batches:
+                for piece in pieces(batch):
+                    for t in texts_as_bytes(piece.column(0)):
+                        held += [TOKENS.of(t), gap]
+                        waiting += len(held[-2])
+                        if waiting > STRETCH:
+                            add(np.concatenate(held))
+                            held, waiting = [], 0
+            if held:
+                add(np.concatenate(held))
+        finally:
+            forget_all()
         blocks = total.astype("<i8").reshape(-1, CHUNK * DIMS)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["chunk", "sums"])
 
@@ -172,7 +179,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x)[:, 0] / self.temperature, -500, 500)))
 
 
-def fit_network(model: QualityModel, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 60) -> None:
+def fit_network(model: QualityModel, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int) -> None:
     """Two layers by Adam on the weighted log loss; a fifth of the rows is held back for the temperature."""
     back = np.arange(len(y)) % 5 == 4
     rng = np.random.default_rng(3)
@@ -199,13 +206,12 @@ def fit_network(model: QualityModel, x: np.ndarray, y: np.ndarray, weight: np.nd
 
 
 def train_quality_model(docs: DataFrame, labelled: DataFrame, label: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """docs (doc_id, text): all texts, for the word vectors; labelled (doc_id, label): the rows to learn labels from."""
+    """docs (doc_id, text): all texts, for the word vectors; labelled (doc_id, label): the rows to learn labels from.
+
+    Of an id with several labels the greatest counts; rows with a null id or label teach nothing; copies of one row count once.
+    """
     model = QualityModel(word_vectors(context_sums(docs.select(F.col("text").cast("string").alias("text")))))
-    known = labelled.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = bounded_sample(known, F.col("doc_id"), F.col("label"), sample)
-    # At most about 2 * sample ids of 8 bytes: that bound makes the broadcast safe.
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    texts, counts = labelled_texts(docs, labelled, label, sample)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [pooled(TOKENS.of(t), model.vectors).tobytes() for t in texts_as_bytes(batch.column(1))]
@@ -219,12 +225,16 @@ def train_quality_model(docs: DataFrame, labelled: DataFrame, label: str = "qual
     y = np.array([float(rows[k]["label"]) for k in order])
     drawn_of = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 1) / drawn_of[int(k)] for k in y])
-    fit_network(model, x, y, np.minimum(weight / weight.mean(), 10.0), epochs=max(10, min(60, 240_000 // len(rows))))
+    fit_network(model, x, y, np.minimum(weight / weight.mean(), 10.0), EPOCHS)
     return model
 
 
 def quality_filter(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """docs, all columns as they are, without the rows whose score is below threshold. No shuffle."""
+    """docs, all columns as they are, without the rows whose score is below threshold. No shuffle.
+
+    Null and empty texts have no tokens and get the network's answer to that; repeated rows and rows with a null id each
+    get theirs; without labelled rows every score is one half, so all stay; an empty table gives none.
+    """
     at = docs.columns.index(text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

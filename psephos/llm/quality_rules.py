@@ -16,10 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import WORD, documents, fold, labels, stored
+from psephos.llm.common import WORD, documents, fold, labelled_ids, labels, stored
 
 BINS = 32
-MOST_RULES, MOST_CONDITIONS = 8, 3
+#: Labelled ids of each label that rules are learned from, at most (about).
+SAMPLE = 20_000
 #: A rule is kept if it is right on this share of the rows it covers when pruned, and on this many.
 PRECISION, SUPPORT = 0.9, 3
 #: What the shapes below are read from; counted per word.
@@ -165,9 +166,11 @@ def learn_rules(labelled: DataFrame, prefix: str, label: str, part: str) -> list
         return int(r[0] or 0), int(r[1] or 0)
 
     left, rules = F.lit(True), []
-    while len(rules) < MOST_RULES:
+    # A rule ends when no condition gains anything, the list when no rule is right often enough on the pruning rows;
+    # each rule takes rows away and each condition halves a statistic's range, so both loops end.
+    while True:
         growing, rule = left & (F.col("part") < 2), []
-        while len(rule) < MOST_CONDITIONS:
+        while True:
             hist = histogram(growing & of(rule))
             low, high = (sum(v[k] for v in hist[names[0]].values()) for k in (0, 1))
             if not low or not high:
@@ -205,27 +208,38 @@ def learn_rules(labelled: DataFrame, prefix: str, label: str, part: str) -> list
     return [tuple(next(moved) for _ in rule) for rule in rules]
 
 
-def trained_rules(docs: DataFrame, labelled: DataFrame, prefix: str = "stat_", label: str = "quality") -> list[Rule]:
-    """Rules from all labelled rows. docs: doc_id and statistics. Rows that the base test fails are left to it."""
-    known = labelled.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
+def trained_rules(docs: DataFrame, known: DataFrame, prefix: str = "stat_") -> list[Rule]:
+    """Rules from labelled rows. docs: doc_id and statistics; known: (doc_id, label), each id once. Rows that the base test fails are left to it."""
     rows = docs.where(~base_failed(prefix)).join(known, "doc_id").withColumn("part", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3))).cast("int"))
     return learn_rules(rows, prefix, "label", "part")
 
 
+def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label) of the labelled documents outside fold 0 of 5 that rules are learned from: SAMPLE of each label at most."""
+    known = labels(spark, sf_dir).where(fold(F.col("doc_id"), 5) != 0)
+    return stored(labelled_ids(known, "quality", SAMPLE)[0], "labelled-ids")
+
+
 def rules_filter(docs: DataFrame, rules: list[Rule], prefix: str = "_stat_") -> DataFrame:
-    """docs, all columns as they are, without those that the base test or a rule rejects. No shuffle, no Python."""
+    """docs, all columns as they are, without those that the base test or a rule rejects. No shuffle, no Python.
+
+    A null or empty text has no words and fails the base test; repeated rows and rows with a null id each get their
+    verdict; an empty table gives none. Columns of docs that start with the prefix keep their values.
+    """
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     with_counts = statistics(docs, prefix)
     return with_counts.where(~base_failed(prefix) & verdict(rules, prefix)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query. Statistics of all documents, rules from the labels outside fold 0 of 5, a verdict on every document.
+    """Contract query. Statistics of all documents, rules from labels outside fold 0 of 5 (labelled_rows), a verdict on every document.
 
     A null or empty text has no words and fails the base test; repeated rows each get a verdict; without labels the
     list is empty and the base test alone decides; further columns of documents are not looked at.
     """
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     stats = stored(statistics(docs, "stat_").drop("text"), "statistics")
-    rules = trained_rules(stats, labels(spark, sf_dir).where(fold(F.col("doc_id"), 5) != 0))
+    rules = trained_rules(stats, labelled_rows(spark, sf_dir))
     kept = ~base_failed("stat_") & verdict(rules, "stat_")
     return stats.select("doc_id", *[F.col("stat_" + c).alias(c) for c in COUNTS[:5]], base_failed("stat_").alias("base_failed"), kept.alias("kept"))

@@ -35,6 +35,8 @@ from psephos.llm.components import components
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GROUP = 20_000
+#: Fingerprints whose keys one task works out.
+KEYED = 20_000
 #: Fingerprints of 64 bits that near_texts takes of a text: one 128-bit hash of each shingle gives both.
 WIDE = 2
 #: Hashes counted at a time, so that a very long text needs little memory.
@@ -197,6 +199,11 @@ def links_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield out
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key to one task for every KEYED of them, as each row gives many keys."""
+    return rows.repartition(max(1, -(-rows.count() // KEYED)), key)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between the rows of distinct (print, rep), enough to tie together all that are linked."""
 
@@ -205,7 +212,7 @@ def links(distinct: DataFrame) -> DataFrame:
         rows, keys = fuzzy_keys(prints.view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[rows]), pa.array(ids[rows])], ["group", "print", "rep"])
 
-    rows = arrow_map(distinct.select("print", "rep"), keyed, "group long, print long, rep long", rows=2000)
+    rows = arrow_map(spread(distinct.select("print", "rep"), "print"), keyed, "group long, print long, rep long", rows=2000)
     large = stored(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-groups")
     if large.isEmpty():
         return rows.repartition("group").sortWithinPartitions("group", "print").mapInArrow(links_in_order, "a long, b long")
@@ -329,7 +336,7 @@ def near_pairs(distinct: DataFrame, bits: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), *(pa.array(c[rows]) for c in columns)], ["key", "node", *prints])
 
     schema = ", ".join(f"{c} long" for c in ["key", "node", *prints])
-    rows = arrow_map(distinct.select("node", *prints), keyed, schema, rows=1000)
+    rows = arrow_map(spread(distinct.select("node", *prints), "node"), keyed, schema, rows=1000)
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-groups")
 
     def within(dealt: DataFrame) -> DataFrame:
@@ -387,7 +394,7 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
 
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     marks = stored(arrow_map(whole, marked, "doc_id long, node long, " + ", ".join(f"{p} long" for p in prints)), "wide-prints")
-    pairs = stored(near_pairs(marks.select("node", *prints).distinct(), bits), "near-pairs")
+    pairs = stored(near_pairs(stored(marks.select("node", *prints).distinct(), "distinct-prints"), bits), "near-pairs")
     if pairs.isEmpty():
         return marks.select("doc_id", "node", F.col("node").alias("component"))
     asked = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
@@ -410,7 +417,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """docs, all columns as they are, with one document of each component of near_texts: that with the smallest doc_id.
 
     Rows that share this doc_id all stay. Of a component without any doc_id one row stays; rows with a null doc_id in
-    other components go.
+    other components go. Null and empty texts have the same words and are one component; an empty table gives none.
     """
     marks = near_texts(docs, text, doc_id)
     least = stored(marks.groupBy("component").agg(F.min("doc_id").alias("least"), F.min("node").alias("node")), "least-of-each")

@@ -37,7 +37,8 @@ from psephos.llm.common import alone, arrow_map, documents, stored, texts_as_byt
 WINDOW, ANCHOR = 13, 5
 FILTER_BITS = 27
 DOC_FILTER_BITS = 24
-REMEMBERED = 300_000
+#: Word hashes that a worker remembers within a task; those of longer words than LONGEST_REMEMBERED bytes are worked out each time.
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
 #: A place is a long: a few bits of the text (for rows that share a doc_id), the word's number.
 PLACE_BITS, TEXT_BITS = 28, 11
 #: Anchors are told apart by so many bits; two that agree in them only let more windows go on.
@@ -59,9 +60,13 @@ class WordHashes:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(words).difference(known):
+        new = set(words).difference(known)
+        for w in new:
             known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        for w in [w for w in new if len(w) > LONGEST_REMEMBERED]:
+            del known[w]
+        return out
 
 
 WORDS = WordHashes()

@@ -7,7 +7,7 @@ Viterbi decoding finds the cheapest path under the character model, for words an
 
 Features are the restored words and their first LEAD letters. Their counts in toxic and other labelled documents come
 from a bounded sample, SAMPLE labelled rows of each label at most (about); those that speak clearly for label 1 form the
-lexicon. A logistic regression on the sum of the lexicon's weights found in a document gives the score.
+lexicon, all of them: the sample bounds how many there can be. A logistic regression on the sum of the lexicon's weights found in a document gives the score.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import arrow_map, bounded_sample, documents, fold, labels, pieces, texts_as_bytes
+from psephos.llm.common import arrow_map, documents, fold, labelled_texts, labels, pieces, stored, texts_as_bytes
 
 SAMPLE = 6000
 LEAD = (4, 5, 6)
-LEXICON = 20_000
 REMEMBERED = 400_000
 #: What longer words restore to is not remembered but worked out each time.
 REMEMBERED_LENGTH = 160
@@ -247,12 +246,12 @@ class ToxicityModel:
 
 
 def train_toxicity_model(docs: DataFrame, labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE, least: int = 3) -> ToxicityModel:
-    """docs (doc_id, text): all texts, for the character model; labelled (doc_id, label): the rows to learn labels from."""
+    """docs (doc_id, text): all texts, for the character model; labelled (doc_id, label): the rows to learn labels from.
+
+    Of an id with several labels the greatest counts; rows with a null id or label teach nothing; copies of one row count once.
+    """
     model = ToxicityModel(trigram_costs(trigram_counts(docs.select(F.col("text").cast("string").alias("text")))))
-    known = labelled.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    drawn = bounded_sample(known, F.col("doc_id"), F.col("label"), sample)
-    # At most about 2 * sample ids of 8 bytes: that bound makes the broadcast safe.
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
+    texts = stored(labelled_texts(docs, labelled, label, sample)[0], "labelled-texts")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +269,7 @@ def train_toxicity_model(docs: DataFrame, labelled: DataFrame, label: str = "tox
     counts = texts.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # Log odds, less 1.5 standard errors: a few chance meetings of a rare word with label 1 are no evidence.
     weight = F.log(F.col("toxic") / toxic) - F.log((F.col("clean") + 0.5) / (clean + 1.0)) - 1.5 * F.sqrt(1 / F.col("toxic") + 1 / (F.col("clean") + 0.5))
-    strong = counts.where(F.col("toxic") >= least).withColumn("weight", weight).where("weight >= 1.0").orderBy(F.desc("toxic"), "feature").limit(LEXICON)
+    strong = counts.where(F.col("toxic") >= least).withColumn("weight", weight).where("weight >= 1.0")
     model.lexicon = {r["feature"]: float(r["weight"]) for r in strong.collect()}
 
     def evidence(batch: pa.RecordBatch) -> pa.RecordBatch:
