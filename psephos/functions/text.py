@@ -42,9 +42,14 @@ def whole_number(text: Column) -> Column:
 
 
 def electoral_cell(text: Column) -> Column:
-    """'-' is 0, '(9)' is a contested 9, else an integer; null marks a cell that is none of them."""
+    """'-' is 0, '(9)' is a contested 9, else an integer; null marks a cell that is none of them (electoral_cell_is_bad)."""
     bare = clean_label(text)
-    return F.when(bare == "-", F.lit(0)).when(bare.rlike(r"^\(?\d+\)?$"), F.regexp_replace(bare, r"[()]", "").try_cast("int"))
+    return F.when(bare == "-", F.lit(0)).when(bare.rlike(r"^([+-]?\d+|\(\d+\))$"), F.regexp_replace(bare, r"[()]", "").try_cast("int"))
+
+
+def electoral_cell_is_bad(text: Column) -> Column:
+    """A cell, not null, that electoral_cell cannot read: '(9', '176 (175)', words."""
+    return text.isNotNull() & electoral_cell(text).isNull()
 
 
 def popular_cell(text: Column) -> Column:
@@ -67,15 +72,18 @@ def reliability(votes: Column, total: Column, percent: Column, tolerance: float
 
 
 def name_parts(name: Column) -> dict[str, Column]:
-    """first, middle, last, suffix of 'First [Middle ...] Last[, Jr.]'."""
-    suffix = F.nullif(F.regexp_extract(name, r"(?:,\s*|\s+)(Jr\.?|Sr\.?|II|III|IV)$", 1), F.lit(""))
-    words = F.split(F.trim(F.regexp_replace(name, r"(?:,\s*|\s+)(Jr\.?|Sr\.?|II|III|IV)$", "")), r"\s+")
+    """first, middle, last, suffix: the first word; of the others, if there are several, the next one; all that follow; Jr.
+
+    Only Jr. is a suffix. The rule is generic: names it splits wrongly are corrected by an overlay.
+    """
+    rest = F.regexp_replace(F.regexp_replace(name, "^[^ ]* ?", ""), ",? Jr\\.?$", "")
+    words = F.filter(F.split(F.trim(rest), r"\s+"), lambda w: w != "")
     n = F.size(words)
     return {
-        "first": F.get(words, F.lit(0)),
-        "middle": F.when(n > 2, F.array_join(F.slice(words, 2, F.greatest(n - 2, F.lit(1))), " ")),
-        "last": F.when(n > 1, F.element_at(words, -1)),
-        "suffix": suffix,
+        "first": F.substring_index(name, " ", 1),
+        "middle": F.when(n > 1, F.get(words, F.lit(0))),
+        "last": F.when(n == 1, F.get(words, F.lit(0))).when(n > 1, F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")),
+        "suffix": F.when(name.endswith("Jr."), F.lit("Jr.")),
     }
 
 

@@ -81,7 +81,7 @@ def winner(score: str, name: str, tie: str) -> Column:
 def margin(score: str) -> Column:
     """Aggregate: the largest known score less the second, in points; null with fewer than two.
 
-    A group holds the candidates of one election, so the list that is sorted is short.
+    A group holds the candidates of one election, so the list that is sorted is as short as the ballot.
     """
     top = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 2)
     return F.when(F.size(top) == 2, (F.get(top, F.lit(0)) - F.get(top, F.lit(1))) * 100)

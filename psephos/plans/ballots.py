@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from psephos.operators import measures as M
 from psephos.operators import resolution as R
+from psephos.shared import stored
 
 EXCLUDED_YEAR, EXCLUDED_NATION = 1996, 3
 OFFICE_YEAR, OFFICE_SEGMENT = 1994, "BUILDING"
@@ -47,27 +48,33 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.withColumn("candidate_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("name"))).select("candidate_id", "name")
 
 
-def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counted_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, state, candidate, candidate_votes), counted once and written: orders are scanned for this alone, and all that
+    follows reads years x nations x segments."""
+    return stored(all_sources(popular(spark, sf_dir)), "votes")
+
+
+def spine(spark: SparkSession, sf_dir: str, votes: DataFrame | None = None) -> DataFrame:
     """The dense votes fact: every segment in every nation and year, 0 where it won no electors."""
-    votes = all_sources(popular(spark, sf_dir))
+    votes = counted_votes(spark, sf_dir) if votes is None else votes
     names = candidates(spark, sf_dir)
     places = votes.select("year", "state").distinct().join(electors(spark, sf_dir), "state")
     # Dense by definition: years x nations x segments, all three of them small dimensions.
-    dense = places.join(names.withColumnRenamed("name", "candidate"), F.lit(True)).join(votes, ["year", "state", "candidate"], "left")
+    dense = places.crossJoin(names.withColumnRenamed("name", "candidate")).join(votes, ["year", "state", "candidate"], "left")
     first = F.row_number().over(Window.partitionBy("year", "state").orderBy(F.desc_nulls_last("candidate_votes"), "candidate"))
     won = dense.withColumn("president_electoral_votes", F.when(first == 1, F.col("electors")).otherwise(F.lit(0).cast("long")))
     kept = won.select("year", "state", "candidate_id", "candidate", F.col("electors").alias("total_electoral_votes"), "president_electoral_votes")
-    excluded = electors(spark, sf_dir).where(F.col("n_nationkey") == EXCLUDED_NATION).select("state").join(names, F.lit(True))
+    excluded = electors(spark, sf_dir).where(F.col("n_nationkey") == EXCLUDED_NATION).select("state").crossJoin(names)
     overrides = excluded.select(F.lit(EXCLUDED_YEAR).alias("year"), "state", "candidate_id", F.lit("not_counted").alias("count_status"), F.lit("excluded").alias("count_status_reason"))
     counted = M.electoral_rank(M.with_counted(kept, overrides))
     office = spark.createDataFrame([(OFFICE_YEAR, OFFICE_SEGMENT)], "year int, office_holder string")
     return M.took_office(counted, office).drop("candidate").withColumn("is_total", F.lit(False))
 
 
-def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolved(spark: SparkSession, sf_dir: str, votes: DataFrame | None = None) -> DataFrame:
     """Popular votes in the shared shape, of nations that hold a vote."""
     held = electors(spark, sf_dir).where("n_regionkey <> 0").select("state")
-    votes = all_sources(popular(spark, sf_dir)).join(held, "state", "left_semi")
+    votes = (counted_votes(spark, sf_dir) if votes is None else votes).join(held, "state", "left_semi")
     totals = votes.groupBy("year", "state").agg(F.sum("candidate_votes").alias("state_total_votes"))
     return votes.join(totals, ["year", "state"]).select(
         F.lit("ballots").alias("source"), "year", "state", "candidate", F.lower("candidate").alias("party"), "candidate_votes", "state_total_votes", F.lit("exact").alias("reliability")
@@ -78,12 +85,21 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCES, "source string, precedence_rank int, redistributable boolean")
 
 
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.spine_join(spine(spark, sf_dir), candidates(spark, sf_dir), resolved(spark, sf_dir), sources(spark))
+def joined(spark: SparkSession, sf_dir: str, votes: DataFrame | None = None) -> DataFrame:
+    """The joined view, written once, as the measures read it several times."""
+    votes = counted_votes(spark, sf_dir) if votes is None else votes
+    return stored(R.spine_join(spine(spark, sf_dir, votes), candidates(spark, sf_dir), resolved(spark, sf_dir, votes), sources(spark)), "joined")
+
+
+def election(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(joined, roster) of the same count."""
+    votes = counted_votes(spark, sf_dir)
+    return joined(spark, sf_dir, votes), roster(spark, sf_dir, votes)
 
 
-def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = electors(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct(), F.lit(True))
+def roster(spark: SparkSession, sf_dir: str, votes: DataFrame | None = None) -> DataFrame:
+    years = (table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")) if votes is None else votes.select("year")).distinct()
+    places = electors(spark, sf_dir).crossJoin(years)
     absent = places.where("n_regionkey = 0").select("year", "state", F.lit("legislature_chosen").alias("pv_status"), F.lit("region 0").alias("note"))
     return R.roster(places.withColumn("is_total", F.lit(False)), absent, "ballots")
 

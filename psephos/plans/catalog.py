@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,29 +10,12 @@ from psephos.functions import text as T
 from psephos.operators import measures as M
 from psephos.operators import reshape, resolution
 from psephos.plans import ballots as B
+from psephos.plans.registry import query
 from psephos.plans.serving import year_index
 from psephos.sources.publish import content_version
 
-Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["year", "state", "candidate"]
 STATUS_SOURCES = [("F", 2, True), ("O", 1, False), ("P", 3, True)]
-FOUND: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        FOUND[f.__name__] = (f, sql)
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in FOUND.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in FOUND.items() if sql}
 
 
 def _scores_sql(share: str = B.FULL_SHARE, roster: str = "roster") -> str:
@@ -56,22 +37,22 @@ left join h h1 on h1.year = w.year and h1.k = 1 left join h h2 on h2.year = w.ye
 
 @query(_scores_sql() + SUMMARY)
 def three_method_summary(spark: SparkSession, d: str) -> DataFrame:
-    return M.summary(M.measures(B.joined(spark, d), B.roster(spark, d)))
+    return M.summary(M.measures(*B.election(spark, d)))
 
 
 @query(_scores_sql() + "select * from scores")
 def three_method_scores(spark: SparkSession, d: str) -> DataFrame:
-    return M.measures(B.joined(spark, d), B.roster(spark, d))
+    return M.measures(*B.election(spark, d))
 
 
 @query(_scores_sql(B.RESTRICTED_SHARE) + "select * from scores")
 def scores_restricted(spark: SparkSession, d: str) -> DataFrame:
-    return M.measures(B.joined(spark, d), B.roster(spark, d), M.RESTRICTED)
+    return M.measures(*B.election(spark, d), M.RESTRICTED)
 
 
 @query(_scores_sql() + "select year, ec_denominator, covered_electoral_votes, covered_electoral_votes / nullif(ec_denominator, 0) as pv_coverage from cov")
 def coverage_by_year(spark: SparkSession, d: str) -> DataFrame:
-    return M.coverage(B.joined(spark, d), B.roster(spark, d))
+    return M.coverage(*B.election(spark, d))
 
 
 PART_ROSTER = ", part as (select year, state, case when year = 1993 then 'legislature_chosen' else pv_status end as pv_status from roster where year < 1996)"
@@ -249,10 +230,24 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
 
 
-@query(r"""select p_partkey, w[1] as first, case when len(w) > 2 then array_to_string(w[2 : len(w) - 1], ' ') end as middle, case when len(w) > 1 then w[-1] end as last, cast(null as varchar) as suffix
-from (select p_partkey, regexp_split_to_array(trim(p_type), '\s+') as w from part)""")
+#: Names of one to four words, with and without Jr.; the rule in SQL: first word, then one middle word if two or more follow.
+NAMES = """(select p_partkey, case p_partkey % 6 when 0 then p_type when 1 then p_type || ' ' || p_name when 2 then p_type || ' ' || p_name || ', Jr.'
+  when 3 then p_brand || ' ' || p_type || ' ' || p_name when 4 then p_type || ' ' || p_brand || ' Jr.' else p_name || ' III' end as n from part)"""
+NAME_SPLIT = rf"""with a as (select p_partkey, n, string_split(n, ' ')[1] as first, regexp_replace(case when contains(n, ' ') then substr(n, strpos(n, ' ') + 1) else '' end, ',? Jr\.?$', '') as rest from {NAMES}),
+b as (select *, list_filter(regexp_split_to_array(trim(rest), '\s+'), lambda x: x <> '') as w from a)
+select p_partkey, first, case when len(w) > 1 then w[1] end as middle, case when len(w) = 1 then w[1] when len(w) > 1 then array_to_string(w[2:], ' ') end as last,
+  case when ends_with(n, 'Jr.') then 'Jr.' end as suffix from b"""
+
+
+@query(NAME_SPLIT)
 def name_split(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "part").select("p_partkey", *[v.alias(k) for k, v in T.name_parts(F.col("p_type")).items()])
+    part, k = B.table(spark, d, "part"), F.col("p_partkey") % 6
+    forms = [["p_type"], ["p_type", "p_name"], ["p_type", "p_name", "Jr,"], ["p_brand", "p_type", "p_name"], ["p_type", "p_brand", "Jr"]]
+    name = F.concat_ws(" ", "p_name", F.lit("III"))
+    for n, form in reversed(list(enumerate(forms))):
+        end = {"Jr,": ", Jr.", "Jr": " Jr."}.get(form[-1], "")
+        name = F.when(k == n, F.concat(F.concat_ws(" ", *[c for c in form if not c.startswith("Jr")]), F.lit(end))).otherwise(name)
+    return part.select("p_partkey", *[v.alias(c) for c, v in T.name_parts(name).items()])
 
 
 @query("select l_orderkey, l_linenumber, case when abs(l_quantity / 50.0::double * 100 - l_discount * 1000) > 0.5 then 'unreliable' else 'exact' end as reliability from lineitem")
@@ -260,7 +255,15 @@ def reliability_flag(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.reliability(F.col("l_quantity"), F.lit(50.0), F.col("l_discount") * 1000).alias("reliability"))
 
 
-@query(None)
+HASHED = ["year", "state", "candidate_id", "candidate", "total_electoral_votes", "president_electoral_votes", "national_electoral_votes", "president_electoral_rank", "took_office",
+          "source", "party", "candidate_votes", "state_total_votes", "reliability", "redistributable", "president_electoral_votes_counted", "national_counted_electoral_votes",
+          "count_status", "count_status_reason"]
+VERSION_SQL = B.SQL + ", h as (select sha256(concat_ws(chr(31), " + ", ".join(f"coalesce({c}::varchar, '')" for c in HASHED) + """)) as h from joined),
+s as (select count(*) as n_rows, """ + ", ".join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::bigint)::varchar as p{k}" for k in range(4)) + """ from h)
+select n_rows, sha256(concat_ws(':', 'schema=1', n_rows::varchar, p0, p1, p2, p3)) as version from s"""
+
+
+@query(VERSION_SQL)
 def snapshot_version(spark: SparkSession, d: str) -> DataFrame:
     df = B.joined(spark, d)
     return content_version(df, df.columns)
@@ -280,9 +283,9 @@ def union_of_sources(spark: SparkSession, d: str) -> DataFrame:
     return resolution.union_tagged({"supplier": s, "customer": c})
 
 
-@query("select c_custkey from customer except select o_custkey from orders")
+@query("select c_custkey from customer except select o_custkey from orders where o_totalprice > 300000")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "customer").select("c_custkey").subtract(B.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return B.table(spark, d, "customer").select("c_custkey").subtract(B.table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query(B.SQL + "select year, state, pv_status, 'ballots' as source, case when pv_status <> 'popular_vote' then 'region 0' end as note from roster")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from psephos.sources.publish import published
 
+# Fixed value: rows of one read above which it is refused.
 MOST_ROWS = 5000
 
 
@@ -28,6 +29,13 @@ def capped(df: DataFrame, most: int = MOST_ROWS) -> list[dict]:
     return [r.asDict() for r in rows]
 
 
+def bounded(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """df, or an error if it has more rows than most; no more than that many are counted."""
+    if df.limit(most + 1).count() > most:
+        raise OverflowError(f"more than {most} rows; narrow the request")
+    return df
+
+
 def year_index(rollup: DataFrame, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
     """(year, n_candidates, has_popular_vote), by year."""
     grouped = year_window(rollup, year_from, year_to).groupBy("year")
@@ -66,12 +74,12 @@ class Snapshot:
             rows = rows.where(F.col("state_usps") == state.upper())
         if candidate is not None:
             rows = rows.where(F.col("candidate_slug") == candidate.lower())
-        return rows.orderBy("state", "candidate_slug"), self.summary(year)
+        return bounded(rows).orderBy("state", "candidate_slug"), self.summary(year)
 
     def state(self, usps: str, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
         rows = self._known(self.rows.where(F.col("state_usps") == usps.upper()), f"state {usps}")
-        return year_window(rows, year_from, year_to).orderBy("year", "candidate_slug")
+        return bounded(year_window(rows, year_from, year_to)).orderBy("year", "candidate_slug")
 
     def candidate(self, slug: str, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
         rows = self._known(self.rows.where(F.col("candidate_slug") == slug.lower()), f"candidate {slug}")
-        return year_window(rows, year_from, year_to).orderBy("year", "state")
+        return bounded(year_window(rows, year_from, year_to)).orderBy("year", "state")

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 PV = "source string, year int, state string, candidate string, party string, candidate_votes long, state_total_votes long, reliability string"
 PV_COLUMNS = ["source", "year", "state", "candidate", "party", "candidate_votes", "state_total_votes", "reliability"]
-PV_KEY = ["source", "year", "state", "candidate"]
-PV_SOURCE = "source string, precedence_rank int, redistributable boolean"
-ROSTER = "source string, year int, state string, pv_status string, note string"
-CANDIDATE = "candidate_id int, name string"
 VOTES = (
     "year int, state string, is_total boolean, candidate_id int, total_electoral_votes int, president_electoral_votes int,"
     " president_electoral_rank int, took_office boolean, count_status string, count_status_reason string, president_electoral_votes_counted int"
@@ -42,12 +38,12 @@ ROLLUP_COLUMNS = [
     "year", "candidate", "candidate_slug", "party", "national_electoral_votes", "president_electoral_rank", "took_office", "national_pv_votes",
     "national_pv_denominator", "national_counted_electoral_votes", "national_electoral_denominator",
 ]
+# Columns of the delimited source, vocabularies, and marks of an absent number.
 CSV_COLUMNS = [
     "year", "state", "state_po", "state_fips", "state_cen", "state_ic", "office", "candidate", "party_detailed", "writein",
     "candidatevotes", "totalvotes", "version", "notes", "party_simplified",
 ]
 PV_STATUSES = ["popular_vote", "legislature_chosen", "not_participating"]
 COUNT_STATUSES = ["counted", "not_counted", "disputed"]
-RELIABILITIES = ["exact", "unreliable"]
 ABSENT_TOKENS = ["", "--", "-", "---"]
-FIRST_YEAR = 1824
+

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.constraints import Constraint, ConstraintError, check, check_not_empty, row_rule, sums_within, unique
+from psephos.constraints import Constraint, ConstraintError, check, check_not_empty, row_rule, sums_equal, sums_within, unique
 from psephos.operators.measures import fusion_collapse
 from psephos.schemas import CSV_COLUMNS, PV_COLUMNS
 
@@ -30,19 +30,22 @@ def typed(raw: DataFrame) -> tuple[DataFrame, list[Constraint]]:
     return out, [row_rule(raw, F.trim(c).try_cast(kind).isNotNull(), f"unreadable_{c}") for c, kind in numbers.items()]
 
 
-def popular_votes(raw: DataFrame, source: str, states: DataFrame, names: DataFrame, parties: Sequence[str] = ("DEMOCRAT", "REPUBLICAN"), years: Sequence[int] | None = None) -> DataFrame:
+def popular_votes(raw: DataFrame, source: str, states: DataFrame, names: DataFrame, parties: Sequence[str] = ("DEMOCRAT", "REPUBLICAN"), years: Sequence[int] | None = None, exceptions: DataFrame | None = None) -> DataFrame:
     """The shared popular-vote shape (PV).
 
     Rows without a candidate belong to nobody and go; one of a major party that is no write-in stops the build. Lines of
     one candidate are added up before the party is looked at. states and names map (native, canonical); a name that they
-    lack stops the build.
+    lack stops the build. With exceptions (year, state, difference) the lines of a state must add up to its total but for
+    the difference named there; without, to no more than it.
     """
     rows, readable = typed(raw)
     if years is not None:
-        rows = rows.where(F.col("year").isin(*years))
+        rows = rows.where(F.col("year").isin(list(years)))
         check_not_empty(rows, "rows_in_years")
     lost = rows.where(F.col("candidate").isNull() & F.col("party_simplified").isin(*parties) & ~F.coalesce("writein", F.lit(False)))
-    check(*readable, Constraint("major_party_row_without_candidate", lost), sums_within(rows, ["year", "state"], "candidatevotes", "totalvotes"))
+    place = ["year", "state"]
+    sums = sums_within(rows, place, "candidatevotes", "totalvotes") if exceptions is None else sums_equal(rows, place, "candidatevotes", "totalvotes", exceptions)
+    check(*readable, Constraint("major_party_row_without_candidate", lost), sums)
     one = fusion_collapse(rows.where("candidate is not null"), KEY, "party_simplified", "candidatevotes", "totalvotes")
     scoped = one.where(F.col("party_simplified").isin(*parties))
     check(

@@ -7,7 +7,7 @@ votes are expressions and joins over those rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from psephos.constraints import Constraint, check
 from psephos.functions.text import clean_label, percent_cell, popular_cell, popular_cell_is_bad, whole_number
+from psephos.shared import stored
 
 ROWS = "page string, table_no int, row_no int, cells array<struct<text:string, header:boolean, span:int>>"
-# Labels that mark header, totals and summary rows, and prose that carries no result.
+# Labels that mark header, totals and summary rows.
 STATE_HEADERS = ["STATE", "STATES"]
 TOTALS = ["TOTALS", "TOTAL"]
 OTHERS = ["OTHERS", "OTHER", "VARIOUS", "OTHERS (VARIOUS)"]
-PROSE = r"(?i)last update|click on (the )?state|elected by the (house|senate)|did not participate|^sources?\b"
 
 
 class _Tables(HTMLParser):
@@ -120,22 +120,26 @@ def result_rows(rows: DataFrame) -> DataFrame:
     return mine.join(usual, "page").withColumn("groups", ((F.col("data_width") - 2) / 3).cast("int"))
 
 
-def body_rows(results: DataFrame) -> DataFrame:
+def body_rows(results: DataFrame, prose: str = "") -> DataFrame:
     """result rows under the header with their kind: status, totals, district, state, prose or unknown.
 
-    A trailing block that repeats the header's party and nominee labels ends the body.
+    Prose is told by shape - a single cell over the whole width, or no text at all - or by the pattern prose, if one is
+    given. A trailing block that repeats the header's party and nominee labels ends the body.
     """
     upper = F.transform("texts", lambda t: F.upper(t))
     ends = results.where(F.col("row_no") > F.col("state_row")).where(F.array_contains(upper, "PARTY") & F.array_contains(upper, "NOMINEES")).groupBy("page").agg(F.min("row_no").alias("end_row"))
     label, second = F.get("texts", F.lit(0)), F.get("texts", F.lit(1))
     numeric = (F.col("width") == F.col("data_width")) & whole_number(F.get("cells", F.lit(1))["text"]).isNotNull()
     wide = (F.col("width") == 2) & (F.get("cells", F.lit(1))["span"] >= F.col("data_width") - 1)
+    single = (F.col("width") == 1) & (F.get("cells", F.lit(0))["span"] >= F.col("data_width"))
+    empty = F.size(F.filter("texts", lambda t: t != "")) == 0
+    worded = F.exists("texts", lambda t: t.rlike(prose)) if prose else F.lit(False)
     kind = (
         F.when(wide & F.lower(second).contains("legislature"), "status")
         .when(F.upper(label).isin(*TOTALS), "totals")
         .when(numeric & F.upper(label).rlike(r"^CD-\d+$"), "district")
         .when(numeric, "state")
-        .when(F.exists("texts", lambda t: t.rlike(PROSE)) | (F.size(F.filter("texts", lambda t: t != "")) == 0), "prose")
+        .when(single | empty | worded, "prose")
         .otherwise("unknown")
     )
     body = results.join(ends, "page", "left").where((F.col("row_no") > F.col("state_row")) & (F.col("end_row").isNull() | (F.col("row_no") < F.col("end_row"))))
@@ -192,13 +196,18 @@ def page_constraints(body: DataFrame, cells: DataFrame) -> list[Constraint]:
     ]
 
 
-def popular_votes_of_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def pages_without_results(pages: DataFrame, results: DataFrame, exempt: Sequence[str] = ()) -> Constraint:
+    """Every page but the exempt ones has a results table with a data row of full width."""
+    return Constraint("page_without_results", pages.select("page").where(~F.col("page").isin(*exempt) if exempt else F.lit(True)).join(results.select("page"), "page", "left_anti"))
+
+
+def popular_votes_of_pages(pages: DataFrame, exempt: Sequence[str] = (), prose: str = "") -> tuple[DataFrame, DataFrame]:
     """(votes, status) of pages that keep their constraints: votes (page, label, name, party, total_votes, votes, percent) of
     state rows, without the column of other candidates and without absent cells; status (page, label, pv_status, note)."""
-    results = result_rows(page_rows(pages).persist())
-    body = body_rows(results)
+    results = result_rows(stored(page_rows(pages), "page-rows"))
+    body = body_rows(results, prose)
     cells = popular_cells(body)
-    check(*page_constraints(body, cells))
+    check(pages_without_results(pages, results, exempt), *page_constraints(body, cells))
     votes = cells.where("kind = 'state' and votes is not null").join(candidate_names(results).where("not is_other"), ["page", "col_ind"])
     status = body.where("kind = 'status'").select("page", F.get("texts", F.lit(0)).alias("label"), F.lit("legislature_chosen").alias("pv_status"), F.get("texts", F.lit(1)).alias("note"))
     return votes.select("page", "label", "name", "party", "total_votes", "votes", "percent"), status

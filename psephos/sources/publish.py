@@ -55,13 +55,33 @@ def _file(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def _complete(spark: SparkSession, table: str) -> bool:
+    """The writer marks a whole table by a file of its own, last of all."""
+    fs, mark = _file(spark, f"{table}/_SUCCESS")
+    return fs.exists(mark)
+
+
+def _replace(spark: SparkSession, staged, target: str) -> None:
+    """staged takes the place of target in one step: a reader finds the old file or the new one, never none."""
+    jvm = spark.sparkContext._jvm
+    _, path = _file(spark, target)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fs, _ = _file(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(staged, path, options)
+
+
 def publish(spark: SparkSession, root: str, rows: DataFrame, built: str) -> dict:
     """Write rows and roll-up under root/<version>, check what was written, then point root/current at it."""
     meta = content_version(rows, SNAPSHOT_COLUMNS).head().asDict()
     place = f"{root}/{meta['version']}"
-    rows.repartitionByRange("year", "state").sortWithinPartitions("year", "state", "candidate_slug").write.mode("overwrite").parquet(f"{place}/ec_pv")
-    written = spark.read.parquet(f"{place}/ec_pv")
-    snapshot_rollup(written).write.mode("overwrite").parquet(f"{place}/national_rollup")
+    # Tables of an equal version that are complete may be open in a reader: they stay as they are.
+    if not _complete(spark, f"{place}/ec_pv"):
+        rows.repartitionByRange("year", "state").sortWithinPartitions("year", "state", "candidate_slug").write.mode("overwrite").parquet(f"{place}/ec_pv")
+    written = spark.read.schema(rows.schema).parquet(f"{place}/ec_pv")
+    if not _complete(spark, f"{place}/national_rollup"):
+        snapshot_rollup(written).write.mode("overwrite").parquet(f"{place}/national_rollup")
     facts = written.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("candidate_slug").alias("candidate_count"), F.min("year").alias("year_min"), F.max("year").alias("year_max"))
     meta |= facts.head().asDict() | {"schema_version": SCHEMA_VERSION, "built": built}
     if meta["row_count"] != meta["n_rows"]:
@@ -70,9 +90,7 @@ def publish(spark: SparkSession, root: str, rows: DataFrame, built: str) -> dict
     out = fs.create(staged, True)
     out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
     out.close()
-    _, current = _file(spark, f"{root}/current")
-    fs.delete(current, False)
-    fs.rename(staged, current)
+    _replace(spark, staged, f"{root}/current")
     return meta
 
 

@@ -7,10 +7,10 @@ import math
 import duckdb
 import pytest
 
-from psephos.plans.catalog import oracle_sql, queries
+from psephos.plans import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events pages".split()
 
 
 def same(a, b):

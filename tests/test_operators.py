@@ -104,7 +104,12 @@ def test_text(spark):
     out = [tuple(r) for r in df.select(T.slug(F.col("s")), T.clean_label(F.col("s")), T.electoral_cell(F.col("s")), T.popular_cell(F.col("s"))).collect()]
     assert out[0][0] == "jose-nunez" and out[1][1] == "Iowa" and out[2][2] == 9 and out[3][3] is None and out[4][3] == 1234 and out[5] == (None,) * 4
     name = frame(spark, "s string", ("Robert M. La Follette, Jr.",)).select(*[v.alias(k) for k, v in T.name_parts(F.col("s")).items()]).head()
-    assert tuple(name) == ("Robert", "M. La", "Follette", "Jr.")
+    assert tuple(name) == ("Robert", "M.", "La Follette", "Jr.")
+    cases = {"Joseph R. Biden Jr.": ("Joseph", "R.", "Biden", "Jr."), "Hillary Clinton": ("Hillary", None, "Clinton", None), "Faith Spotted Eagle": ("Faith", "Spotted", "Eagle", None), "Cher": ("Cher", None, None, None)}
+    for full, parts in cases.items():
+        assert tuple(frame(spark, "s string", (full,)).select(*[v.alias(k) for k, v in T.name_parts(F.col("s")).items()]).head()) == parts
+    cells = frame(spark, "s string", ("9)",), ("(9",), ("176 (175)",), ("-",), ("12",)).select(T.electoral_cell_is_bad(F.col("s")))
+    assert [r[0] for r in cells.collect()] == [True, True, True, False, False]
 
 
 def csv_line(state, name, party, writein, votes, total, simple):
@@ -134,6 +139,7 @@ PAGE = """<html><body><table><tr><td>menu</table>
 <tr><td>Votes<td>%<td>EV<td>Votes<td>%<td>EV</tr>
 <tr><td>Alpha *</td><td>1,000</td><td>600</td><td>60.0%</td><td>3</td><td>400</td><td>40.0%</td><td>\u00a0</td></tr>
 <tr><td>Beta</td><td>50</td><td>50</td><td>100.0</td><td>2</td><td>--</td><td>-</td><td>\u00a0</td></tr>
+<tr><td colspan=8>Some words over the whole width</td></tr>
 <tr><td>Gamma</td><td colspan=7>Electors were chosen by the legislature</td></tr>
 <tr><td>Totals</td><td>1,050</td><td>{total}</td><td>61.9</td><td>5</td><td>400</td><td>38.1</td><td>0</td></tr>
 </table></body></html>"""
@@ -141,7 +147,10 @@ PAGE = """<html><body><table><tr><td>menu</table>
 
 def test_pages(spark):
     good = frame(spark, "page string, html string", ("1900", PAGE.format(total=650)), ("empty", "<p>nothing"), ("none", None))
-    votes, status = pages.popular_votes_of_pages(good)
+    with pytest.raises(C.ConstraintError) as e:
+        pages.popular_votes_of_pages(good)
+    assert set(e.value.broken) == {"page_without_results"}
+    votes, status = pages.popular_votes_of_pages(good, ["empty", "none"])
     assert sorted(tuple(r) for r in votes.select("label", "name", "total_votes", "votes", "percent").collect()) == [("Alpha", "Ann Doe", 1000, 600, 60.0), ("Beta", "Ann Doe", 50, 50, 100.0)]
     assert [(r["label"], r["pv_status"]) for r in status.collect()] == [("Gamma", "legislature_chosen")]
     names = {r["col_ind"]: (r["name"], r["party"], r["is_other"]) for r in pages.candidate_names(pages.result_rows(pages.page_rows(good))).collect()}
