@@ -31,8 +31,10 @@ from psephos.llm.tokens import word_bpe
 REMEMBERED = 400_000
 PAIRS = 1_000_000
 NODES = 300_000
-#: Words of more symbols don't go into the trie; their path is walked alone, with the same states.
-LONGEST_IN_TRIE = 256
+#: Depth to which words share nodes: what a word has beyond is one edge of the trie, walked with the same states.
+SHARED_DEPTH = 256
+#: Longer stretches and words are worked out each time.
+LONGEST_REMEMBERED = 256
 #: Symbols by which the lengths of possible last tokens are looked up, and the lengths that are always tried.
 ENDING = 4
 SHORT = tuple(range(ENDING - 1, 0, -1))
@@ -68,6 +70,7 @@ class TrieBpe:
         self.inner = {t: i for t, i in self.vocab.items() if not (self.suffix and t.endswith(self.suffix))}
         self.final = {t.removesuffix(self.suffix): i for t, i in self.vocab.items() if t.endswith(self.suffix)} if self.suffix else self.inner
         self.inner_sizes, self.final_sizes = sizes_by_ending(self.inner), sizes_by_ending(self.final)
+        self.longest = max(map(len, [*self.inner, *self.final]))
         self.length = {i: len(t) for table in (self.inner, self.final) for t, i in table.items()}
         self.wholes: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -109,13 +112,14 @@ class TrieBpe:
             self.fits[left, right] = known
         return known
 
-    def _last(self, word: str, n: int, states: list[int], table: dict[str, int]) -> int:
-        """The last token of the first n symbols; states[d] is that of the first d, for each d below n."""
+    def _last(self, tail: str, n: int, states: list[int], table: dict[str, int]) -> int:
+        """The last token of the first n symbols, which end in tail (all of them, or as many as a token can have);
+        states[d] is the last token of the first d, for each d below n."""
         fits = self.fits
-        for size in (self.inner_sizes if table is self.inner else self.final_sizes).get(word[max(0, n - ENDING) : n], SHORT):
+        for size in (self.inner_sizes if table is self.inner else self.final_sizes).get(tail[-ENDING:], SHORT):
             if size > n:
                 continue
-            token = table.get(word[n - size : n])
+            token = table.get(tail[-size:])
             if token is None:
                 continue
             if size == n:
@@ -126,7 +130,7 @@ class TrieBpe:
             known = fits.get((left, token))
             if known or (known is None and self._stand(left, token)):
                 return token
-        raise ValueError(f"no token ends {word[:n]!r}")
+        raise ValueError(f"no token ends {tail!r}")
 
     def _read(self, n: int, last: int, states: list[int]) -> list[int]:
         out = [last]
@@ -136,12 +140,6 @@ class TrieBpe:
             n -= self.length[states[n]]
         return out[::-1]
 
-    def _alone(self, word: str) -> list[int]:
-        states = [0]
-        for d in range(1, len(word)):
-            states.append(self._last(word, d, states, self.inner))
-        return self._read(len(word), self._last(word, len(word), states, self.final), states)
-
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of distinct words, by one depth-first walk of their trie."""
         gc.disable()  # the many nodes hold no cycles
@@ -155,17 +153,15 @@ class TrieBpe:
         root: dict = {}
         nodes = 0
         for word in words:
-            if len(word) > LONGEST_IN_TRIE:
-                out[word] = self._alone(word)
-                continue
             node = root
-            for c in word[:-1]:
+            shared = word[: min(len(word) - 1, SHARED_DEPTH)]
+            for c in shared:
                 below = node.get(c)
                 if below is None:
                     below = node[c] = {}
                     nodes += 1
                 node = below
-            node.setdefault("", []).append(word[-1])  # the edges by which words end here
+            node.setdefault("", []).append(word[len(shared) :])  # the edges by which words end here
             if nodes > NODES:
                 self._walk(root, out)
                 root, nodes = {}, 0
@@ -173,7 +169,7 @@ class TrieBpe:
         return out
 
     def _walk(self, root: dict, out: dict[str, list[int]]) -> None:
-        states, path = [0], ""
+        states, path, longest = [0], "", self.longest
         stack = [(0, "", root)]
         while stack:
             depth, c, node = stack.pop()
@@ -186,8 +182,15 @@ class TrieBpe:
                     stack.append((depth + 1, below, child))
                 else:
                     for end in child:
-                        word = path[:depth] + end
-                        out[word] = self._read(depth + 1, self._last(word, depth + 1, states, self.final), states)
+                        if len(end) == 1:
+                            word = path[:depth] + end
+                            out[word] = self._read(depth + 1, self._last(word, depth + 1, states, self.final), states)
+                            continue
+                        beyond, tail, n = states[: depth + 1], path[:depth], depth
+                        for symbol in end[:-1]:
+                            tail, n = (tail + symbol)[-longest:], n + 1
+                            beyond.append(self._last(tail, n, beyond, self.inner))
+                        out[path[:depth] + end] = self._read(n + 1, self._last((tail + end[-1])[-longest:], n + 1, beyond, self.final), beyond)
 
     def pre_tokens(self, text: str) -> list[str | int]:
         """Words in byte symbols, and added tokens as their ids, in the order of the text."""
@@ -222,9 +225,9 @@ class TrieBpe:
         for s in split:
             pairs = list(map(young.__getitem__, s))
             out.append(("".join([t[0] for t in pairs])[:-1], "".join([t[1] for t in pairs])[:-1]))
-        for w in [w for w in new if len(w) > LONGEST_IN_TRIE]:
+        for w in [w for w in new if len(w) > LONGEST_REMEMBERED]:
             del young[w]
-        for w in [w for w in words if len(w) > LONGEST_IN_TRIE]:
+        for w in [w for w in words if len(w) > LONGEST_REMEMBERED]:
             del known[w]
         return out
 

@@ -152,14 +152,15 @@ class MTree:
 
 
 def integer_vectors(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
-    """(vec_id, v array<double>): floor(256 x) of every component; rows with a null id, a null or empty vector, or a null or non-finite component are left out.
+    """(vec_id, v array<double>): floor(256 x) of every component; rows with a null id, a null vector, or a null or non-finite component are left out.
 
-    Rows that share a vec_id are one vector: the smallest of them.
+    An empty vector has every score 0. Rows that share a vec_id are each a candidate; those with a query's own id are the
+    query's own, and its results are the best of them all.
     """
     x = F.col(vector).cast("array<double>")
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    kept = rows.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & whole)
-    return kept.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256).cast("double")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    kept = rows.where(F.col(vec_id).isNotNull() & x.isNotNull() & whole)
+    return kept.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256).cast("double")).alias("v"))
 
 
 def _packed(column: pd.Series, dims: int) -> np.ndarray:
@@ -174,11 +175,13 @@ def build_index(vectors: DataFrame, shards: int, dims: int) -> DataFrame:
     """(shard, tree): one M-tree for each shard of vectors (vec_id, v)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values(["vec_id", "row"])
         tree = MTree(pdf["vec_id"].to_numpy(np.int64), _packed(pdf["v"], dims))
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "tree": [tree.to_bytes()]})
 
-    return vectors.withColumn("shard", shard_of(F.col("vec_id"), shards)).groupBy("shard").applyInPandas(build, "shard int, tree binary")
+    # The row's place deals rows that share an id over all shards. vectors is a table read back, so places stay the same.
+    placed = vectors.withColumn("row", F.monotonically_increasing_id())
+    return placed.withColumn("shard", shard_of(F.struct("vec_id", "row"), shards)).groupBy("shard").applyInPandas(build, "shard int, tree binary")
 
 
 def shard_of(key: Column, parts: int) -> Column:
@@ -192,7 +195,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     table gives none.
     """
     n, m = vectors.count(), queries.count()
-    dims = int(vectors.agg(F.max(F.size("v")).alias("d")).head()["d"] or 1)
+    dims = max(1, int(vectors.agg(F.max(F.size("v")).alias("d")).head()["d"] or 1))
     shards, groups = max(1, -(-n // SHARD)), max(1, -(-m // (BLOCK * BLOCKS_PER_TASK)))
     trees = stored(build_index(vectors, shards, dims), "m-trees")
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
@@ -221,10 +224,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
            from embeddings
-           where embedding is not null and len(embedding) > 0
-             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id,
-             list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+             coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::bigint as score
       from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
