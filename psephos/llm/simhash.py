@@ -19,7 +19,7 @@ a larger radius, beyond what the keys guarantee, and the similarity is computed
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations, islice
 
@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 
 from psephos.llm.common import arrow_map, documents, stored, texts_as_bytes
 from psephos.llm.components import components
+from psephos.llm.substrings import FILTER_BITS, bit_filter, in_filter
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GROUP = 20_000
 #: Fingerprints whose keys one task works out.
 KEYED = 20_000
+#: Rows of a group up to which near_texts takes all its pairs at once.
+SMALL = 32
 #: Fingerprints of 64 bits that near_texts takes of a text: one 128-bit hash of each shingle gives both.
 WIDE = 2
 #: Hashes counted at a time, so that a very long text needs little memory.
@@ -280,39 +283,80 @@ def first_shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return out
 
 
-def pairs_in_order(bits: int, block: int = 256) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (group, key, node, prints) sorted by group: all pairs of a group within the radius whose first shared key is its key."""
+def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, dist, degree) of rows (group, key, node, prints, and `more` further columns) sorted by group.
 
-    def found(group: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        def batch(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            own = (first_shared(prints[i], prints[j]) == key[i]) & (node[i] != node[j])
-            a, b = node[i[own]], node[j[own]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    Without further columns: of a group of up to SMALL rows all pairs within the radius whose first shared key is its key;
+    of a larger one, for each row with a neighbour within the radius, its nearest one (dist) and, if that is within the
+    radius, the row with the most neighbours (degree). With further columns (component, size, shared): all pairs of
+    different components within the radius whose first shared key is its key and which may be similar enough, see may_reach().
+    """
 
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(WIDE))
+
+    def batch(a: np.ndarray, b: np.ndarray, dist: np.ndarray | None = None, degree: np.ndarray | None = None) -> pa.RecordBatch:
+        rest = [pa.nulls(len(a), pa.int32()) if x is None else pa.array(x, pa.int32()) for x in (dist, degree)]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], ["a", "b", "dist", "degree"])
+
+    def pairs(i: np.ndarray, j: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+        real = node[i] != node[j]
+        if more:
+            real &= (extra[i, 0] != extra[j, 0]) & may_reach(extra[i, 1], extra[i, 2], extra[j, 1], extra[j, 2], similarity)
+        i, j = i[real], j[real]
+        own = first_shared(prints[i], prints[j]) == key[i]
+        a, b = node[i[own]], node[j[own]]
+        return batch(np.minimum(a, b), np.maximum(a, b))
+
+    def some(at: int, n: int, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of one large group: each row's nearest one and the group's hub. Memory: block^2."""
+        rows = np.arange(at, at + n)
+        least, nearest, degree = np.full(n, bits + 1), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for i in range(0, n, block):
+            for j in range(0, n, block):
+                d = apart(prints[at + i : at + min(i + block, n)], prints[at + j : at + min(j + block, n)])
+                d[node[rows[i : i + block], None] == node[None, rows[j : j + block]]] = bits + 1
+                degree[i : i + block] += (d <= bits).sum(axis=1)
+                here = d.argmin(axis=1)
+                lower = d[np.arange(len(d)), here]
+                better = lower < least[i : i + block]
+                least[i : i + block][better] = lower[better]
+                nearest[i : i + block][better] = j + here[better]
+        tied = np.flatnonzero(degree)
+        if len(tied):
+            yield batch(node[rows[tied]], node[rows[nearest[tied]]], dist=least[tied])
+            hub = int(degree.argmax())
+            around = np.flatnonzero((apart(prints[at : at + n], prints[at + hub : at + hub + 1])[:, 0] <= bits) & (node[rows] != node[at + hub]))
+            yield batch(node[rows[around]], np.full(len(around), node[at + hub]), degree=np.full(len(around), degree[hub]))
+
+    def found(group: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(first, len(group)))
-        small = np.repeat(sizes <= 32, sizes)
-        for step in range(1, int(min(32, sizes.max()))):
+        small = np.repeat(sizes <= SMALL, sizes)
+        for step in range(1, int(min(SMALL, sizes.max()))):
             at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
             at = at[np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1) <= bits]
             if len(at):
-                yield batch(at, at + step)
-        for at, n in zip(first[sizes > 32].tolist(), sizes[sizes > 32].tolist()):
+                yield pairs(at, at + step, key, node, prints, extra)
+        for at, n in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            if not more:
+                yield from some(at, n, node, prints)
+                continue
             for i in range(at, at + n, block):
                 for j in range(i, at + n, block):
-                    x, y = prints[i : min(i + block, at + n)], prints[j : min(j + block, at + n)]
-                    a, b = np.nonzero(sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(WIDE)) <= bits)
+                    a, b = np.nonzero(apart(prints[i : min(i + block, at + n)], prints[j : min(j + block, at + n)]) <= bits)
                     a, b = a + i, b + j
                     if (less := a < b).any():
-                        yield batch(a[less], b[less])
+                        yield pairs(a[less], b[less], key, node, prints, extra)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for rows in batches:
             if not rows.num_rows:
                 continue
-            group, key, node, *prints = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in rows.columns)
-            now = [group, key, node, np.stack(prints, axis=1).view(np.uint64)]
+            group, key, node, *rest = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in rows.columns)
+            extra = np.stack(rest[WIDE:], axis=1) if more else np.zeros((len(node), 0), dtype=np.int64)
+            now = [group, key, node, np.stack(rest[:WIDE], axis=1).view(np.uint64), extra]
             held.append(now)
             if now[0][-1] == held[0][0][0]:
                 continue  # the group goes on
@@ -326,30 +370,60 @@ def pairs_in_order(bits: int, block: int = 256) -> Callable[[Iterable[pa.RecordB
     return run
 
 
-def near_pairs(distinct: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) of rows of distinct (node, prints) that share a key and differ in at most so many bits, each once."""
-    prints = [f"p{k}" for k in range(WIDE)]
+def may_reach(size: np.ndarray, shared: np.ndarray, other_size: np.ndarray, other_shared: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets can reach the similarity, by their sizes and by how many of their members any other set has: what
+    both have is among these."""
+    both = np.minimum(shared, other_shared)
+    return both >= similarity * (size + other_size - both) - 1e-9
+
+
+def near_pairs(distinct: DataFrame, bits: int, more: Sequence[str] = (), similarity: float = 0.0) -> DataFrame:
+    """pairs_in_order() of the rows of distinct (node, prints, more), dealt by their keys."""
+    columns = ["node", *[f"p{k}" for k in range(WIDE)], *more]
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        rows, keys = wide_keys(np.stack(columns, axis=1).view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), *(pa.array(c[rows]) for c in columns)], ["key", "node", *prints])
+        held = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows, keys = wide_keys(np.stack(held[1 : 1 + WIDE], axis=1).view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[rows]) for c in held)], ["key", *columns])
 
-    schema = ", ".join(f"{c} long" for c in ["key", "node", *prints])
-    rows = arrow_map(spread(distinct.select("node", *prints), "node"), keyed, schema, rows=1000)
+    schema = ", ".join(f"{c} long" for c in ["key", *columns])
+    rows = arrow_map(spread(distinct.select(*columns), "node"), keyed, schema, rows=1000)
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-groups")
 
     def within(dealt: DataFrame) -> DataFrame:
-        return dealt.select("group", "key", "node", *prints).repartition("group").sortWithinPartitions("group").mapInArrow(pairs_in_order(bits), "a long, b long")
+        return dealt.select("group", "key", *columns).repartition("group").sortWithinPartitions("group").mapInArrow(pairs_in_order(bits, len(more), similarity), "a long, b long, dist int, degree int")
 
     if large.isEmpty():
-        return within(rows.withColumn("group", F.col("key"))).distinct()
+        return within(rows.withColumn("group", F.col("key")))
     # As in links(): blocks of a large group, every two of them together.
     blocks = F.ceil(F.col("n") / (GROUP // 2))
     block = F.pmod(F.xxhash64("node"), blocks)
     split = rows.join(large, "key").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     split = split.withColumn("group", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
-    return within(rows.join(large, "key", "left_anti").withColumn("group", F.col("key"))).unionByName(within(split)).distinct()
+    return within(rows.join(large, "key", "left_anti").withColumn("group", F.col("key"))).unionByName(within(split))
+
+
+def shared_members(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, size, shared) of texts (node, text): how many shingles a text has, and how many of them another text has too.
+
+    The second number comes from a bit filter of fixed size, so it may be too large, never too small.
+    """
+
+    def hashes(text: bytes | None) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, shingle_set(lower_words(text), shingle)), dtype=np.uint64)
+
+    def members(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every = np.concatenate([np.zeros(0, dtype=np.uint64), *map(hashes, texts_as_bytes(batch.column(0)))])
+        return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["h"])
+
+    often = arrow_map(texts.select("text"), members, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    marked = bit_filter(often, FILTER_BITS)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        each = list(map(hashes, texts_as_bytes(batch.column(1))))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in each], pa.int64()), pa.array([int(in_filter(marked.value, FILTER_BITS, h).sum()) for h in each], pa.int64())], ["node", "size", "shared"])
+
+    return arrow_map(texts.select("node", "text"), count, "node long, size long, shared long")
 
 
 def node_of(words: list[bytes]) -> int:
@@ -369,8 +443,8 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     A node is the 64-bit hash of a text's words in lower case, so texts of the same words are one node (texts without
     words too). Candidates are pairs that share a Golay key of WIDE fingerprints and differ in at most bits of their
     64 * WIDE bits; the similarity is then computed on the texts. No pair below it is linked; what of the pairs above it
-    the keys miss is given in README. Of the candidates, each text's first one is looked at before the others, so that
-    of a large group of copies not all pairs need their texts.
+    the keys miss is given in README. Of a large group not all pairs are listed: each text's nearest one and the group's
+    hub come first, and then only pairs that these have not tied and whose sizes and common shingles allow the similarity.
     """
     prints = [f"p{k}" for k in range(WIDE)]
 
@@ -394,22 +468,34 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
 
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     marks = stored(arrow_map(whole, marked, "doc_id long, node long, " + ", ".join(f"{p} long" for p in prints)), "wide-prints")
-    pairs = stored(near_pairs(stored(marks.select("node", *prints).distinct(), "distinct-prints"), bits), "near-pairs")
-    if pairs.isEmpty():
+    distinct = stored(marks.select("node", *prints).distinct(), "distinct-prints")
+    met = stored(near_pairs(distinct, bits), "near-pairs")
+    if met.isEmpty():
         return marks.select("doc_id", "node", F.col("node").alias("component"))
-    asked = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+    asked = stored(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct(), "asked")
     texts = stored(arrow_map(whole.select("text"), nodes_of_texts, "node long, text string").join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked-texts")
 
     def verified(some: DataFrame) -> DataFrame:
         read = some.join(texts.withColumnsRenamed({"node": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b")
         return stored(arrow_map(read.select("a", "b", "one", "other"), alike, "a long, b long", rows=64), "similar-pairs")
 
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tied = verified(first)
+    # First the pairs of small groups, each text's nearest one and its hub in larger ones.
+    nearest = met.where("dist is not null").groupBy("a").agg(F.min(F.struct("dist", "b"))["b"].alias("b"))
+    hubs = met.where("degree is not null").groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("b"))
+    some = met.where("dist is null and degree is null").select("a", "b").unionByName(nearest).unionByName(hubs)
+    tied = verified(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = stored(components(tied), "tied")
-    of = [known.withColumnsRenamed({"node": n, "component": f"c{n}"}) for n in ("a", "b")]
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
-    found = components(tied.unionByName(verified(rest)))
+    # Then, of the texts in larger groups, the pairs that are not tied yet and that their sizes and common shingles allow.
+    open_nodes = stored(met.where("dist is not null").select(F.col("a").alias("node")).distinct(), "open")
+    if open_nodes.isEmpty():
+        found = known
+    else:
+        counted = shared_members(texts.join(open_nodes, "node", "left_semi"), shingle)
+        again = distinct.join(stored(counted, "members"), "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # A text that shares too few of its shingles with any other has no partner at all.
+        again = stored(again.where(F.col("shared") >= similarity * F.col("size")), "open-prints")
+        rest = near_pairs(again, bits, ["component", "size", "shared"], similarity).select("a", "b").distinct()
+        found = components(tied.unionByName(verified(rest)))
     return marks.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 

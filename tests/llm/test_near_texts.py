@@ -39,3 +39,30 @@ def test_rows_without_an_id(spark):
     n = sorted(r["n"] for r in got)
     assert n[0] == 0 and len(n) == 4 and n[1] in (2, 3, 4) and n[2] == 5 and n[3] in (6, 7)
     assert all((r["doc_id"], r["text"], r["n"]) == rows[r["n"]] for r in got)
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """Edits of one text by the hundred: components as those of all pairs, in groups over SMALL and over GROUP."""
+    from psephos.llm import simhash
+
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = {" ".join(base)}
+    while len(texts) < 120:
+        texts.add(" ".join(f"new{rng.integers(1 << 30)}" if k in set(rng.choice(150, rng.integers(1, 7)).tolist()) else w for k, w in enumerate(base)))
+    texts = sorted(texts)
+    near = {(i, j) for i in range(120) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8}
+    up = list(range(120))
+    for _ in range(120):
+        for i, j in near:
+            up[i] = up[j] = min(up[i], up[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for small, group in ((32, 20_000), (4, 20_000), (4, 16)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "GROUP", group)
+        rows = simhash.near_texts(df).collect()
+        first = {}
+        for r in rows:
+            first[r["component"]] = min(first.get(r["component"], 999), r["doc_id"])
+        got = [first[r["component"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
+        assert sum(a != b for a, b in zip(got, up)) <= 2 and all(b <= a for a, b in zip(got, up))
