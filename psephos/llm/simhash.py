@@ -20,7 +20,7 @@ a larger radius, beyond what the keys guarantee, and the similarity is computed
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -39,7 +39,7 @@ GROUP = 20_000
 #: Fingerprints whose keys one task works out.
 KEYED = 20_000
 #: Rows of a group up to which near_texts takes all its pairs at once.
-SMALL = 32
+SMALL = 16
 #: Fingerprints of 64 bits that near_texts takes of a text: one 128-bit hash of each shingle gives both.
 WIDE = 2
 #: Hashes counted at a time, so that a very long text needs little memory.
@@ -284,11 +284,12 @@ def first_shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, dist, degree) of rows (group, key, node, prints, and `more` further columns) sorted by group.
+    """(a, b, dist, degree, around) of rows (group, key, node, prints, and `more` further columns) sorted by group.
 
     Without further columns: of a group of up to SMALL rows all pairs within the radius whose first shared key is its key;
-    of a larger one, for each row with a neighbour within the radius, its nearest one (dist) and, if that is within the
-    radius, the row with the most neighbours (degree). With further columns (component, size, shared): all pairs of
+    of a larger one, for each row with a neighbour within the radius, its nearest one (dist) if the group's key is the
+    first that the two share, and, for the first kind of keys, a row with about the most neighbours (degree); and one
+    row with the list (around) of all that have a neighbour, at most GROUP of them. With further columns (component, size, shared): all pairs of
     different components within the radius whose first shared key is its key and which may be similar enough, see may_reach().
     """
 
@@ -297,7 +298,9 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
 
     def batch(a: np.ndarray, b: np.ndarray, dist: np.ndarray | None = None, degree: np.ndarray | None = None) -> pa.RecordBatch:
         rest = [pa.nulls(len(a), pa.int32()) if x is None else pa.array(x, pa.int32()) for x in (dist, degree)]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], ["a", "b", "dist", "degree"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest, pa.nulls(len(a), pa.list_(pa.int64()))], names)
+
+    names = ["a", "b", "dist", "degree", "around"]
 
     def pairs(i: np.ndarray, j: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
         real = node[i] != node[j]
@@ -308,8 +311,12 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
         a, b = node[i[own]], node[j[own]]
         return batch(np.minimum(a, b), np.maximum(a, b))
 
-    def some(at: int, n: int, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def some(at: int, n: int, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of one large group: each row's nearest one and the group's hub. Memory: block^2."""
+
+        def own(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return first_shared(prints[i], prints[j]) == key[at]
+
         rows = np.arange(at, at + n)
         least, nearest, degree = np.full(n, bits + 1), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for i in range(0, n, block):
@@ -324,10 +331,16 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
                 nearest[i : i + block][better] = j + here[better]
         tied = np.flatnonzero(degree)
         if len(tied):
-            yield batch(node[rows[tied]], node[rows[nearest[tied]]], dist=least[tied])
-            hub = int(degree.argmax())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([node[rows[tied]]], pa.list_(pa.int64()))], names)
+            i, j = rows[tied], rows[nearest[tied]]
+            mine = own(i, j)
+            yield batch(node[i[mine]], node[j[mine]], dist=least[tied][mine])
+            # Of the rows with about the most neighbours the one with the smallest number, so that groups agree on it.
+            central = np.flatnonzero(degree >= 0.9 * degree.max())
+            hub = int(central[node[rows[central]].argmin()])
             around = np.flatnonzero((apart(prints[at : at + n], prints[at + hub : at + hub + 1])[:, 0] <= bits) & (node[rows] != node[at + hub]))
-            yield batch(node[rows[around]], np.full(len(around), node[at + hub]), degree=np.full(len(around), degree[hub]))
+            if key[at] >> 24 == 0:  # one of the kinds of keys is enough for hubs
+                yield batch(node[rows[around]], np.full(len(around), node[at + hub]), degree=np.full(len(around), degree[hub]))
 
     def found(group: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -340,7 +353,7 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
                 yield pairs(at, at + step, key, node, prints, extra)
         for at, n in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             if not more:
-                yield from some(at, n, node, prints)
+                yield from some(at, n, key, node, prints)
                 continue
             for i in range(at, at + n, block):
                 for j in range(i, at + n, block):
@@ -391,7 +404,7 @@ def near_pairs(distinct: DataFrame, bits: int, more: Sequence[str] = (), similar
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-groups")
 
     def within(dealt: DataFrame) -> DataFrame:
-        return dealt.select("group", "key", *columns).repartition("group").sortWithinPartitions("group").mapInArrow(pairs_in_order(bits, len(more), similarity), "a long, b long, dist int, degree int")
+        return dealt.select("group", "key", *columns).repartition("group").sortWithinPartitions("group").mapInArrow(pairs_in_order(bits, len(more), similarity), "a long, b long, dist int, degree int, around array<long>")
 
     if large.isEmpty():
         return within(rows.withColumn("group", F.col("key")))
@@ -472,7 +485,9 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     met = stored(near_pairs(distinct, bits), "near-pairs")
     if met.isEmpty():
         return marks.select("doc_id", "node", F.col("node").alias("component"))
-    asked = stored(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct(), "asked")
+    open_nodes = stored(met.where("around is not null").select(F.explode("around").alias("node")).distinct(), "open")
+    pairs = met.where("a is not null")
+    asked = stored(reduce(DataFrame.unionByName, [pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")), open_nodes]).distinct(), "asked")
     texts = stored(arrow_map(whole.select("text"), nodes_of_texts, "node long, text string").join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked-texts")
 
     def verified(some: DataFrame) -> DataFrame:
@@ -482,18 +497,20 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     # First the pairs of small groups, each text's nearest one and its hub in larger ones.
     nearest = met.where("dist is not null").groupBy("a").agg(F.min(F.struct("dist", "b"))["b"].alias("b"))
     hubs = met.where("degree is not null").groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("b"))
-    some = met.where("dist is null and degree is null").select("a", "b").unionByName(nearest).unionByName(hubs)
+    some = pairs.where("dist is null and degree is null").select("a", "b").unionByName(nearest).unionByName(hubs)
     tied = verified(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = stored(components(tied), "tied")
     # Then, of the texts in larger groups, the pairs that are not tied yet and that their sizes and common shingles allow.
-    open_nodes = stored(met.where("dist is not null").select(F.col("a").alias("node")).distinct(), "open")
     if open_nodes.isEmpty():
         found = known
     else:
-        counted = shared_members(texts.join(open_nodes, "node", "left_semi"), shingle)
-        again = distinct.join(stored(counted, "members"), "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # A text that shares too few of its shingles with any other has no partner at all.
-        again = stored(again.where(F.col("shared") >= similarity * F.col("size")), "open-prints")
+        # A text that shares too few of its shingles with any other has no partner at all; without these, the others share
+        # fewer, so it is counted twice.
+        counted = stored(shared_members(texts.join(open_nodes, "node", "left_semi"), shingle), "members")
+        enough = counted.where(F.col("shared") >= similarity * F.col("size")).select("node")
+        counted = stored(shared_members(texts.join(enough, "node", "left_semi"), shingle), "members")
+        again = distinct.join(counted.where(F.col("shared") >= similarity * F.col("size")), "node").join(known, "node", "left")
+        again = stored(again.withColumn("component", F.coalesce("component", "node")), "open-prints")
         rest = near_pairs(again, bits, ["component", "size", "shared"], similarity).select("a", "b").distinct()
         found = components(tied.unionByName(verified(rest)))
     return marks.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
