@@ -192,9 +192,29 @@ def nothing_below_floor(df: DataFrame, measure: str, floor: int, name: str = "no
     return Constraint(name, df.where((F.col("year") < floor) & F.col(measure).isNotNull()))
 
 
-def winners_have_votes(df: DataFrame, years: Sequence[int], name: str = "winners_have_votes") -> Constraint:
-    """In these years whoever has electoral votes in a state has popular votes there."""
-    return Constraint(name, df.where(F.col("year").isin(*years) & (F.col("president_electoral_votes") > 0) & F.col("candidate_votes").isNull()))
+def _contested(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
+    """Rows with electoral votes in the years given or, without any, in those of which some popular vote is known."""
+    won = df.where(F.col("president_electoral_votes") > 0)
+    if years is not None:
+        return won.where(F.col("year").isin(*years))
+    return won.join(df.where(F.col("candidate_votes").isNotNull()).select("year").distinct(), "year", "left_semi")
+
+
+def winners_have_votes(df: DataFrame, years: Sequence[int] | None = None, exemptions: DataFrame | None = None, name: str = "winners_have_votes") -> Constraint:
+    """In these years whoever has electoral votes in a state has popular votes there, but for exemptions (year, candidate).
+
+    Without years: those of which some popular vote is known.
+    """
+    missing = _contested(df, years).where(F.col("candidate_votes").isNull())
+    return Constraint(name, missing if exemptions is None else missing.join(exemptions.select("year", "candidate"), ["year", "candidate"], "left_anti"))
+
+
+def check_winners_inspected(df: DataFrame, at_least: int, years: Sequence[int] | None = None) -> int:
+    """How many rows winners_have_votes looks at; too few would let it pass without having shown anything."""
+    n = _contested(df, years).count()
+    if n < at_least:
+        raise ConstraintError({"winners_inspected": (1, f"{n} rows, at least {at_least} are asked for")})
+    return n
 
 
 def winner_is_first(summary: DataFrame, measures: DataFrame, name: str = "winner_is_first") -> Constraint:

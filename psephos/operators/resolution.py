@@ -59,6 +59,12 @@ def spine_join(votes: DataFrame, candidates: DataFrame, resolved: DataFrame, sou
     return found.select(*JOINED_COLUMNS)
 
 
+def electoral_getters(votes: DataFrame, candidates: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """(year, candidate, president_electoral_votes) of the totals rows, which have one row for a year and candidate."""
+    totals = votes.where("is_total") if years is None else votes.where(F.col("is_total") & F.col("year").isin(*years))
+    return totals.join(candidates.select("candidate_id", F.col("name").alias("candidate")), "candidate_id").select("year", "candidate", "president_electoral_votes")
+
+
 def overlay_set(df: DataFrame, overlay: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Values that the overlay (keys, value) names replace those of the column."""
     out = df.join(overlay.select(*keys, F.col("value").alias("_value")), list(keys), "left")

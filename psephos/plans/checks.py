@@ -115,6 +115,14 @@ def winners_without_votes(spark: SparkSession, d: str) -> DataFrame:
     return C.winners_have_votes(B.joined(spark, d), [1996, 1997]).violations.select("year", "state", "candidate_id")
 
 
+@query(B.SQL + """select year, state, candidate_id from joined where president_electoral_votes > 0 and candidate_votes is null
+  and year in (select year from joined where candidate_votes is not null) and not (year >= 1995 and candidate in ('BUILDING', 'MACHINERY'))""")
+def winners_not_exempt(spark: SparkSession, d: str) -> DataFrame:
+    joined = B.joined(spark, d)
+    exempt = joined.where("year >= 1995 and candidate in ('BUILDING', 'MACHINERY')").select("year", "candidate").distinct()
+    return C.winners_have_votes(joined, exemptions=exempt).violations.select("year", "state", "candidate_id")
+
+
 _SUMMARY_CTES, _SUMMARY_SELECT = SUMMARY.split("\nselect w.year", 1)
 
 

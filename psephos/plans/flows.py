@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from psephos.operators import corrections as K
 from psephos.operators import reshape, resolution
 from psephos.plans import ballots as B
 from psephos.plans.registry import query
@@ -59,6 +60,67 @@ def placeholder_rows(spark: SparkSession, d: str) -> DataFrame:
     return resolution.replace_rows(B.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), named, ["c_custkey"])
 
 
+# --- a printed grid and its corrections ---
+
+
+def printed_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, K.Catalog]:
+    """In 1994 and 1995 column 1 stands for two people, and some states' split of 1995 is lost; in 1996 the early states
+    have votes and electors that are not printed, and the printed allotment is off by one."""
+    names = B.candidates(spark, d)
+    early, lumped = F.col("state") < "NATION_15", F.col("year").isin(1994, 1995)
+    states = B.counted_votes(spark, d).join(names.withColumnRenamed("name", "candidate"), "candidate").select("year", "state", F.col("candidate_id").alias("col_ind"), F.col("candidate_votes").alias("votes"))
+    totals = states.groupBy("year", "col_ind").agg(F.sum("votes").alias("votes")).withColumn("state", F.lit(K.TOTALS))
+    held = states.groupBy("year", "state").agg(F.sum("votes").alias("electors")).withColumn("electors", F.when((F.col("year") == 1996) & early, 0).otherwise(F.col("electors")))
+    sums = held.groupBy("year").agg((F.sum("electors") + F.when(F.col("year") == 1996, 1).otherwise(0)).alias("electors")).withColumn("state", F.lit(K.TOTALS))
+    columns = states.select("year", "col_ind").distinct().join(names.withColumnRenamed("candidate_id", "col_ind"), "col_ind")
+    columns = columns.select("year", "col_ind", "name", F.when(~(lumped & (F.col("col_ind") == 1)), F.col("name")).alias("home"))
+    half = F.floor(F.col("votes") / 2)
+    split = states.where(lumped & (F.col("col_ind") == 1) & ~((F.col("year") == 1995) & early))
+    shares = split.withColumn("votes", half).unionByName(split.withColumns({"col_ind": F.lit(6), "votes": F.col("votes") - half}))
+    late = held.where((F.col("year") == 1996) & early).select("year", "state")
+    catalog = K.Catalog(
+        spark.createDataFrame([(y, c, n, n) for y in (1994, 1995) for c, n in ((1, "ANN"), (6, "BOB"))], "year int, col_ind int, name string, home string"),
+        shares, late.select("year", "state", F.lit("BUILDING").alias("name"), F.lit(3).alias("votes")), late.select("year", "state", F.lit(5).cast("long").alias("electors")),
+    )
+    return states.unionByName(totals), held.unionByName(sums), columns, catalog
+
+
+PRINTED = B.SQL + ", printed as (select year, state, candidate_id as col_ind, candidate_votes as votes from pv join cand using (candidate)), lumps as (select * from printed where col_ind = 1 and (year = 1994 or (year = 1995 and state >= 'NATION_15')))"
+
+
+@query(PRINTED + """, every as (select * from printed where not (col_ind = 1 and year in (1994, 1995))
+  union all select year, state, c, 0 from places, (values (1), (6)) v(c) where year in (1994, 1995)
+  union all select year, state, 1, votes // 2 from lumps union all select year, state, 6, votes - votes // 2 from lumps
+  union all select year, state, candidate_id, 3 from places, cand where year = 1996 and state < 'NATION_15' and candidate = 'BUILDING'),
+fixed as (select year, state, col_ind, sum(votes)::bigint as votes from every group by all)
+select * from fixed union all select year, 'Totals', col_ind, sum(votes)::bigint from fixed group by all""")
+def corrected_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells, allotments, columns, catalog = printed_grid(spark, d)
+    return K.corrected_cells(cells, allotments, columns, catalog)
+
+
+@query(PRINTED + """, held as (select year, state, case when year = 1996 and state < 'NATION_15' then 5 else sum(votes) end::bigint as electors from printed group by year, state)
+select * from held union all select year, 'Totals', sum(electors)::bigint from held group by all""")
+def corrected_allotments(spark: SparkSession, d: str) -> DataFrame:
+    _, allotments, _, catalog = printed_grid(spark, d)
+    return K.corrected_allotments(allotments, catalog)
+
+
+@query(PRINTED + """, held as (select state, sum(votes)::bigint as electors from printed where year = 1996 group by all)
+select 1995::int as year, 'split' as rule, null::int as col_ind, sum(votes)::bigint as printed, 0::bigint as catalogued, sum(case when state >= 'NATION_15' then votes else 0 end)::bigint as corrected
+  from printed where year = 1995 and col_ind = 1 having sum(case when state < 'NATION_15' then votes else 0 end) > 0
+union all select 1996, 'appointed', null, sum(case when state >= 'NATION_15' then electors else 0 end)::bigint + 1, 5 * count(*) filter (state < 'NATION_15'), sum(case when state >= 'NATION_15' then electors else 5 end)::bigint
+  from held having count(*) filter (state < 'NATION_15') > 0""")
+def corrections_unreconciled(spark: SparkSession, d: str) -> DataFrame:
+    return K.unreconciled(*printed_grid(spark, d)).violations
+
+
+@query(B.SQL + "select year, candidate, sum(president_electoral_votes)::bigint as president_electoral_votes from dense where year in (1996, 1997) group by all")
+def electoral_getters(spark: SparkSession, d: str) -> DataFrame:
+    votes = resolution.with_totals(B.spine(spark, d).drop("is_total"), ["year", "candidate_id"], ["president_electoral_votes"])
+    return resolution.electoral_getters(votes, B.candidates(spark, d), [1996, 1997])
+
+
 # --- a delimited file, written and read ---
 
 LINES = B.SQL + """, lines as (select year, state, case when candidate = 'FURNITURE' and o_orderstatus = 'P' then null else candidate || ', "A."' end as candidate,

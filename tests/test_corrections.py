@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from psephos import constraints as C
 from psephos.operators import corrections as K
 
@@ -49,3 +51,14 @@ def test_a_catalog_that_does_not_fit_is_told(spark):
     wrong = K.Catalog(catalog.named.where("year = 2016"), catalog.shares.where("votes < 0"), make([(1872, "B", "Bea", 1), (1872, "X", "Ann", 1)], "year int, state string, name string, votes int"), make([(1872, "Y", 1)], "year int, state string, electors int"))
     broken = {r["constraint"]: r["n_violations"] for r in C.violations(K.catalog_fits(allotments, columns, wrong)).collect()}
     assert broken == {"placeholder_unnamed": 1, "unprinted_without_column": 1, "unprinted_match_once": 1, "appointed_match_once": 1}
+
+
+def test_winners_without_votes_are_told_but_for_the_exempt(spark):
+    rows = [(1900, "A", "Ann", 3, 10), (1900, "B", "Bea", 2, None), (1900, "B", "Ann", 0, None), (1900, "C", "Cy", 1, None), (1796, "A", "Dee", 5, None)]
+    df = spark.createDataFrame(rows, "year int, state string, candidate string, president_electoral_votes int, candidate_votes int")
+    exempt = spark.createDataFrame([(1900, "Cy"), (1904, "Bea")], "year int, candidate string")
+    assert [r["candidate"] for r in C.winners_have_votes(df, exemptions=exempt).violations.collect()] == ["Bea"]
+    assert {r["candidate"] for r in C.winners_have_votes(df, [1796, 1900]).violations.collect()} == {"Bea", "Cy", "Dee"}
+    assert C.check_winners_inspected(df, 3) == 3
+    with pytest.raises(C.ConstraintError):
+        C.check_winners_inspected(df, 4)
