@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from psephos.llm.bpe import op9_bpe
+from psephos.llm.filter_audit import OP13_SQL, op13_filter_audit
+from psephos.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from psephos.llm.huffman import op2_token_files
 from psephos.llm.language_id import op1_language_id
+from psephos.llm.lines import OP12_SQL, op12_line_dedup
 from psephos.llm.packing import op8_pack
 from psephos.llm.quality_model import op4_quality
 from psephos.llm.quality_rules import op3_quality_rules
@@ -30,9 +33,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack": op8_pack,
         "op9_bpe": op9_bpe,
         "op10_top_k": op10_top_k,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, tokenize or hash by rules that SQL has not; they are tested against brute force."""
-    return {"op6_substrings": OP6_SQL, "op10_top_k": OP10_SQL}
+    return {"op6_substrings": OP6_SQL, "op10_top_k": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_filter_audit": OP13_SQL}
