@@ -18,7 +18,7 @@ from psephos.constraints import Constraint, check
 from psephos.functions.text import clean_label, percent_cell, popular_cell, popular_cell_is_bad, whole_number
 from psephos.shared import stored
 
-ROWS = "page string, table_no int, row_no int, cells array<struct<text:string, header:boolean, span:int>>"
+ROWS = "page string, table_no int, row_no int, cells array<struct<text:string, header:boolean, span:int, spanned:boolean>>"
 # Labels that mark header, totals and summary rows.
 STATE_HEADERS = ["STATE", "STATES"]
 TOTALS = ["TOTALS", "TOTAL"]
@@ -47,8 +47,8 @@ class _Tables(HTMLParser):
             table = self.open[-1]
             if table["cells"] is None:
                 table["cells"] = []
-            span = dict(attrs).get("colspan") or "1"
-            table["cell"] = {"text": "", "header": tag == "th", "span": int(span) if span.strip().isdigit() else 1}
+            span = (dict(attrs).get("colspan") or "").strip()
+            table["cell"] = {"text": "", "header": tag == "th", "span": int(span) if span.isdigit() else 1, "spanned": span.isdigit()}
             table["cells"].append(table["cell"])
         elif tag == "br":
             self.handle_data("\n")
