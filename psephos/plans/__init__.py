@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing the modules registers them."""
 
-from psephos.plans import catalog, checks, electoral, flows, guards  # noqa: F401
+from psephos.plans import catalog, checks, dims, electoral, flows, guards  # noqa: F401
 from psephos.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
