@@ -1,20 +1,22 @@
-"""Publishing a snapshot: staged tables, a version computed from their rows, and one pointer that is swapped last.
+"""Publishing a snapshot: staged tables, a version computed from their rows, and one commit, written last.
 
-A reader follows the pointer, so it sees all tables of a version or none. One writer at a time is assumed.
+A reader follows the last commit, so it sees all tables of a version or none.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.constraints import Constraint, check, in_domain, not_null, redistributable_only, unique
+from psephos.constraints import Constraint, check, in_domain, not_null, nothing_below_floor, redistributable_only, row_rule, unique
 from psephos.functions.text import content_line, slug
 from psephos.operators.measures import appointed_denominator, national_rollup
+from psephos.operators.numbering import ordered_digest
 from psephos.operators.resolution import with_status
 from psephos.schemas import COUNT_STATUSES, PV_STATUSES, ROLLUP_COLUMNS, SNAPSHOT_COLUMNS
+from psephos.sources import commits
 
 SCHEMA_VERSION = 1
 
@@ -50,53 +52,52 @@ def snapshot_rollup(rows: DataFrame) -> DataFrame:
     return out.join(appointed_denominator(rows).withColumnRenamed("ec_denominator", "national_electoral_denominator"), "year", "left").select(*ROLLUP_COLUMNS)
 
 
-def _file(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
-def _complete(spark: SparkSession, table: str) -> bool:
-    """The writer marks a whole table by a file of its own, last of all."""
-    fs, mark = _file(spark, f"{table}/_SUCCESS")
-    return fs.exists(mark)
-
-
-def _replace(spark: SparkSession, staged, target: str) -> None:
-    """staged takes the place of target in one step: a reader finds the old file or the new one, never none."""
-    jvm = spark.sparkContext._jvm
-    _, path = _file(spark, target)
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    fs, _ = _file(spark, target)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(staged, path, options)
-
-
-def publish(spark: SparkSession, root: str, rows: DataFrame, built: str) -> dict:
-    """Write rows and roll-up under root/<version>, check what was written, then point root/current at it."""
-    meta = content_version(rows, SNAPSHOT_COLUMNS).head().asDict()
-    place = f"{root}/{meta['version']}"
-    # Tables of an equal version that are complete may be open in a reader: they stay as they are.
-    if not _complete(spark, f"{place}/ec_pv"):
-        rows.repartitionByRange("year", "state").sortWithinPartitions("year", "state", "candidate_slug").write.mode("overwrite").parquet(f"{place}/ec_pv")
-    written = spark.read.schema(rows.schema).parquet(f"{place}/ec_pv")
-    if not _complete(spark, f"{place}/national_rollup"):
-        snapshot_rollup(written).write.mode("overwrite").parquet(f"{place}/national_rollup")
-    facts = written.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("candidate_slug").alias("candidate_count"), F.min("year").alias("year_min"), F.max("year").alias("year_max"))
-    meta |= facts.head().asDict() | {"schema_version": SCHEMA_VERSION, "built": built}
-    if meta["row_count"] != meta["n_rows"]:
-        raise RuntimeError(f"{meta['row_count']} rows written of {meta['n_rows']}")
-    fs, staged = _file(spark, f"{root}/current.{meta['version']}")
-    out = fs.create(staged, True)
-    out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
-    out.close()
-    _replace(spark, staged, f"{root}/current")
+def snapshot_constraints(rows: DataFrame, rollup: DataFrame, modern: int | None, floor: int | None) -> list[Constraint]:
+    """No popular votes before the floor year, in rows or roll-up (where a 0 would be made up), and popular votes everywhere from the modern year on."""
+    out = []
+    if modern is not None:
+        out.append(row_rule(rows.select("year", "state", "pv_status"), (F.col("year") < modern) | (F.col("pv_status") == "popular_vote"), "modern_year_without_popular_vote"))
+    if floor is not None:
+        out += [nothing_below_floor(rows.select("year", "state", "candidate_votes"), "candidate_votes", floor, "votes_below_floor"), nothing_below_floor(rollup, "national_pv_votes", floor, "national_votes_below_floor")]
+    return out
+
+
+def publish(spark: SparkSession, root: str, rows: DataFrame, built: str, modern: int | None = None, floor: int | None = None) -> dict:
+    """Write rows and roll-up, look at what was written, and commit it as the next version that readers see.
+
+    rows are worked out once: they are counted as they are written, and all that follows - order, roll-up, digest,
+    constraints - reads what was written. Tables of a version that is there already stay as they are. A writer that
+    another one overtook gets StaleWriterError, and readers keep the other one's.
+    """
+    number, _ = commits.latest(spark, root)
+    staging, told = f"{root}/_staging-{uuid.uuid4().hex}", Observation()
+    facts = [F.count(F.lit(1)).alias("n_rows"), F.min("year").alias("year_min"), F.max("year").alias("year_max")]
+    try:
+        rows.observe(told, *facts).write.parquet(f"{staging}/rows")
+        once = spark.read.schema(rows.schema).parquet(f"{staging}/rows")
+        once.repartitionByRange("year", "state").sortWithinPartitions("year", "state", "candidate_slug").write.parquet(f"{staging}/ec_pv")
+        written = spark.read.schema(rows.schema).parquet(f"{staging}/ec_pv")
+        snapshot_rollup(written).write.parquet(f"{staging}/national_rollup")
+        rollup = spark.read.parquet(f"{staging}/national_rollup")
+        check(*snapshot_constraints(written, rollup, modern, floor))
+        n, version = ordered_digest(written, ["year", "state", "candidate_slug"], SNAPSHOT_COLUMNS, f"schema={SCHEMA_VERSION}\x1e")
+        if n != told.get["n_rows"]:
+            raise RuntimeError(f"{n} rows written of {told.get['n_rows']}")
+        people = rollup.select("candidate_slug").distinct().count()
+        for table in ("ec_pv", "national_rollup"):
+            commits.moved_once(spark, f"{staging}/{table}", f"{root}/{version}/{table}")
+        meta = told.get | {"row_count": n, "candidate_count": people, "version": version, "schema_version": SCHEMA_VERSION, "built": built}
+        meta["commit"] = commits.commit(spark, root, number, meta)
+    finally:
+        commits.remove(spark, staging)
     return meta
 
 
 def published(spark: SparkSession, root: str) -> dict:
-    """What root/current says; a version of another schema is an error."""
-    meta = json.loads(spark.read.text(f"{root}/current", wholetext=True).head()["value"])
+    """What the last commit says; none, or a version of another schema, is an error."""
+    number, meta = commits.latest(spark, root)
+    if not number:
+        raise FileNotFoundError(f"nothing is published under {root}")
     if meta["schema_version"] != SCHEMA_VERSION:
         raise ValueError(f"snapshot has schema version {meta['schema_version']}, expected {SCHEMA_VERSION}")
     return meta
