@@ -10,7 +10,8 @@ pivot. A shard is stored as a row of the index table.
 Search. Queries go in blocks of BLOCK to every shard (each row is a query's candidate, as the contract asks). A query
 takes the page of greatest possible score next, from a heap; entries whose stored parent distance already shows, by the
 triangle inequality, that they cannot hold a better score are left out before any distance is computed. Scores are exact
-integers; bounds get a slack above floating-point error and never exclude a tie.
+integers of any size; bounds are doubles with a slack above their error and never exclude a tie. Vectors so large that their
+squares are beyond a double have no distances: they stand beside the tree and are scored by every query.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from psephos.llm.common import stored
+from psephos.llm.exact import Wholes, all_finite, written
 
 SHARD = 8192
 PAGE = 64
@@ -33,19 +35,37 @@ BLOCK = 256
 BLOCKS_PER_TASK = 16
 #: Slack for distances, relative to the sizes involved.
 SLACK = 1e-9
+#: Components from which on a vector stands beside the tree.
+LOOSE = 2.0**480
 
 
 class MTree:
-    """Pages of one shard. Vectors are rows of integers held as doubles (exact below 2^53)."""
+    """Pages of one shard. vectors: rows of finite doubles x, of which floor(256 x) is searched."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        square = (vectors * vectors).sum(axis=1)
+        self.ids, self.raw = ids, vectors
+        self._read()
+        tree = np.nonzero(~self.large)[0]
+        floors = np.where(self.large[:, None], 0.0, self.wholes.floors)
+        square = (floors * floors).sum(axis=1)
         self.most = float(square.max()) if len(ids) else 0.0
-        self.lifted = np.hstack([vectors, np.sqrt(np.maximum(self.most - square, 0))[:, None]])
+        self.lifted = np.hstack([floors, np.sqrt(np.maximum(self.most - square, 0))[:, None]])
         # A node: (pivot, radius, children as node numbers or None, rows, distances of children or rows to the pivot).
         self.nodes: list[tuple] = []
-        self.root = self._build(np.arange(len(ids)), self.lifted.mean(axis=0)) if len(ids) else -1
+        self.root = self._build(tree, self.lifted[tree].mean(axis=0)) if len(tree) else -1
+
+    def _read(self) -> None:
+        self.wholes = Wholes(self.raw)
+        self.large = np.abs(self.raw).max(axis=1, initial=0.0) >= LOOSE
+        self.loose = np.nonzero(self.large)[0]
+
+    def scores(self, rows: np.ndarray, query: Wholes) -> list[int]:
+        """Exact inner products of these rows with the one query."""
+        if not len(rows):
+            return []
+        if not len(query.rows[0]) or self.wholes.kinds[rows].any():
+            return [int(s) for s in self.wholes.take(rows).products(query)[:, 0]]
+        return (self.wholes.floors[rows] @ query.floors[0]).astype(np.int64).tolist()
 
     def _build(self, rows: np.ndarray, pivot: np.ndarray) -> int:
         away = np.linalg.norm(self.lifted[rows] - pivot, axis=1)
@@ -77,8 +97,25 @@ class MTree:
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, id) with an id other than the query's, best first, and how many scores were computed."""
         best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
-        if self.root < 0:
-            return [], 0
+        asked = Wholes(query[None, :])
+
+        def look(rows: np.ndarray) -> int:
+            for score, row in zip(self.scores(rows, asked), self.ids[rows].tolist()):
+                if row != query_id:
+                    entry = (score, -row)
+                    if len(best) < k:
+                        heapq.heappush(best, entry)
+                    elif entry > best[0]:
+                        heapq.heapreplace(best, entry)
+            return len(rows)
+
+        unbounded = np.abs(query).max(initial=0.0) >= LOOSE
+        seen = look(np.arange(len(self.ids)) if unbounded else self.loose)
+        if self.root >= 0 and not unbounded:
+            seen += self._best_first(asked.floors[0], best, k, look)
+        return [(s, -i) for s, i in sorted(best, reverse=True)], seen
+
+    def _best_first(self, query: np.ndarray, best: list[tuple[int, int]], k: int, look) -> int:
         seen = 0
         lifted = np.append(query, 0.0)
         half = (float(query @ query) + self.most) / 2
@@ -89,7 +126,10 @@ class MTree:
             return half - distance * distance / 2 + slack if distance > 0 else half + slack
 
         def least() -> float:
-            return best[0][0] if len(best) == k else -np.inf
+            if len(best) < k:
+                return -np.inf
+            score = best[0][0]
+            return float(score) if abs(score) < 1 << 1000 else np.copysign(np.inf, score)
 
         pivot, radius, *_ = self.nodes[self.root]
         d = float(np.linalg.norm(lifted - pivot))
@@ -102,19 +142,7 @@ class MTree:
             # Triangle inequality by the stored distances: no distance from the query is computed for what this excludes.
             gap = np.abs(d - stored_distances)
             if children is None:
-                keep = half - gap * gap / 2 + slack >= least()
-                rows = rows[keep]
-                seen += len(rows)
-                scores = self.vectors[rows] @ query
-                if len(best) == k:
-                    rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
-                for score, row in zip(scores.tolist(), self.ids[rows].tolist()):
-                    if row != query_id:
-                        entry = (int(score), -row)
-                        if len(best) < k:
-                            heapq.heappush(best, entry)
-                        elif entry > best[0]:
-                            heapq.heapreplace(best, entry)
+                seen += look(rows[half - gap * gap / 2 + slack >= least()])
                 continue
             for child, apart in zip(children, gap.tolist()):
                 pivot, radius, *_ = self.nodes[child]
@@ -124,14 +152,14 @@ class MTree:
                 upper = most(max(0.0, away - radius))
                 if upper >= least():
                     heapq.heappush(heap, (-upper, child, away))
-        return [(s, -i) for s, i in sorted(best, reverse=True)], seen
+        return seen
 
     def to_bytes(self) -> bytes:
         """Vectors and pages in one NumPy archive."""
         out = io.BytesIO()
         leaf = [n[2] is None for n in self.nodes]
         np.savez(
-            out, ids=self.ids, vectors=self.vectors, leaf=np.array(leaf, dtype=bool), pivots=np.array([n[0] for n in self.nodes]), radii=np.array([n[1] for n in self.nodes]),
+            out, ids=self.ids, vectors=self.raw, leaf=np.array(leaf, dtype=bool), pivots=np.array([n[0] for n in self.nodes]), radii=np.array([n[1] for n in self.nodes]),
             sizes=np.array([len(n[4]) for n in self.nodes], dtype=np.int64), entries=np.concatenate([np.asarray(n[3] if n[2] is None else n[2], dtype=np.int64) for n in self.nodes] or [np.zeros(0, np.int64)]),
             distances=np.concatenate([n[4] for n in self.nodes] or [np.zeros(0)]), most=self.most, root=self.root,
         )
@@ -141,7 +169,8 @@ class MTree:
     def from_bytes(cls, raw: bytes) -> MTree:
         z = np.load(io.BytesIO(raw), allow_pickle=False)
         tree = cls.__new__(cls)
-        tree.ids, tree.vectors, tree.most, tree.root, tree.nodes = z["ids"], z["vectors"], float(z["most"]), int(z["root"]), []
+        tree.ids, tree.raw, tree.most, tree.root, tree.nodes = z["ids"], z["vectors"], float(z["most"]), int(z["root"]), []
+        tree._read()
         at = 0
         entries, distances, pivots, radii = z["entries"], z["distances"], z["pivots"], z["radii"]
         for k, (leaf, n) in enumerate(zip(z["leaf"].tolist(), z["sizes"].tolist())):
@@ -152,15 +181,14 @@ class MTree:
 
 
 def integer_vectors(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
-    """(vec_id, v array<double>): floor(256 x) of every component; rows with a null id, a null vector, or a null or non-finite component are left out.
+    """(vec_id, v array<double>): vectors whose components x count as floor(256 x), which the search takes; rows with a null id, a
+    null vector, or a null or non-finite component are left out.
 
     An empty vector has every score 0. Rows that share a vec_id are each a candidate; those with a query's own id are the
     query's own, and its results are the best of them all.
     """
-    x = F.col(vector).cast("array<double>")
-    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    kept = rows.where(F.col(vec_id).isNotNull() & x.isNotNull() & whole)
-    return kept.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256).cast("double")).alias("v"))
+    kept = rows.where(F.col(vec_id).isNotNull() & all_finite(F.col(vector)))
+    return kept.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def _packed(column: pd.Series, dims: int) -> np.ndarray:
@@ -192,7 +220,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products over all other vectors; ties to the smaller vec_id.
 
     vectors and queries: (vec_id, v) as integer_vectors gives them. Fewer than k candidates give fewer rows; an empty
-    table gives none.
+    table gives none. Scores are exact and ranked as such; one that a bigint cannot hold is shown as the nearest bigint.
     """
     n, m = vectors.count(), queries.count()
     dims = max(1, int(vectors.agg(F.max(F.size("v")).alias("d")).head()["d"] or 1))
@@ -203,15 +231,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     held = trees.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(tree_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, str]] = []
         for raw in tree_rows["tree"]:
             tree = MTree.from_bytes(raw)
             for name, q in zip(query_rows["query_id"].tolist(), _packed(query_rows["v"], dims)):
-                out += [(name, row, score) for score, row in tree.search(name, q, k)[0]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                out += [(name, row, *written(score)) for score, row in tree.search(name, q, k)[0]]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "rest"]).astype({c: "int64" for c in ("query_id", "vec_id", "score")})
 
-    found = held.groupBy("group", "shard").cogroup(asked.groupBy("group", "shard")).applyInPandas(search, "query_id long, vec_id long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = held.groupBy("group", "shard").cogroup(asked.groupBy("group", "shard")).applyInPandas(search, "query_id long, vec_id long, score long, rest string")
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rest"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

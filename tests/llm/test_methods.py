@@ -94,7 +94,7 @@ def test_m_tree_against_brute_force(copies):
     ids = rng.permutation(len(vectors)).astype(np.int64)
     tree = topk.MTree.from_bytes(topk.MTree(ids, vectors).to_bytes())
     for q in range(0, len(vectors), 37):
-        scores = vectors @ vectors[q]
+        scores = np.floor(256 * vectors) @ np.floor(256 * vectors[q])
         want = sorted(((int(-s), int(i)) for s, i in zip(scores, ids) if i != ids[q]))[:5]
         assert tree.search(int(ids[q]), vectors[q], 5)[0] == [(-s, i) for s, i in want]
 
@@ -114,10 +114,31 @@ def test_top_k_awkward_vectors(spark, monkeypatch):
     con = duckdb.connect()
     con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
     want = con.execute(topk.OP10_SQL).fetchall()
-    assert sorted((r["query_id"], r["rank"], r["score"]) for r in got.collect()) == sorted((w[0], w[1], w[3]) for w in want)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(tuple(w) for w in want)
     assert sorted(set(r["query_id"] for r in got.collect())) == [0, 50, 100]
 
 
+@pytest.mark.parametrize("size", [2.0**12, 2.0**20, 1e9, 1e30, 1e200, 1e300])
+def test_top_k_of_large_vectors(spark, monkeypatch, size):
+    """Scores beyond doubles and beyond 64 bits: against Python's integers."""
+    from psephos.llm.exact import whole
+
+    monkeypatch.setattr(topk, "SHARD", 60)
+    monkeypatch.setattr(topk, "PAGE", 8)
+    rng = np.random.default_rng(8)
+    rows = [(k, (rng.normal(0.2, 1, size=5) * (size if k % 3 else 1)).tolist()) for k in range(220)]
+    rows += [(k + 1000, [size, 1.0, 0.5, k / 1024, 0.0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = common.stored(topk.integer_vectors(df), "vectors")
+    got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    held, want = [(i, [whole(c) for c in x]) for i, x in rows], []
+    for q, v in held:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in held if i != q)[:5]
+            want += [(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
 def test_closing_a_bin_when_all_are_open():
     bins = packing.BestFit(10, 2, 0)
     assert [bins.place(n) for n in (6, 7, 8, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6)]
