@@ -130,9 +130,9 @@ one as (select year, state, candidate, min_by(party, struct_pack(a := -v, b := p
 select 'FILE' as source, year, upper(state[1]) || lower(state[2:]) as state, candidate || '!' as candidate, party, v as candidate_votes, total as state_total_votes, 'exact' as reliability from one where party in ('DEMOCRAT', 'REPUBLICAN')"""
 
 
-@query(LINES)
-def delimited_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of several parties a candidate, doubled quotes, rows without a candidate, and totals that are off by a known difference in one year."""
+def written_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(lines of a file as text, known differences). Lines of several parties a candidate, doubled quotes, rows without a candidate,
+    and totals that are off by a known difference in one year."""
     votes = B.popular(spark, d)
     totals = votes.groupBy("year", "state").agg((F.sum("candidate_votes") + F.when(F.col("year") == 1995, 7).otherwise(0)).alias("totalvotes"))
     party = F.when(F.col("o_orderstatus") == "F", "DEMOCRAT").when(F.col("o_orderstatus") == "O", "REPUBLICAN").otherwise("OTHER")
@@ -143,10 +143,14 @@ def delimited_votes(spark: SparkSession, d: str) -> DataFrame:
     )
     path = new_path(spark, "results-csv")
     lines.select(*[F.col(c) if c in lines.columns else F.lit("x").alias(c) for c in CSV_COLUMNS]).write.option("header", True).option("escape", '"').csv(path)
-    raw = delimited.read_csv(spark, path)
+    return delimited.read_csv(spark, path), totals.where("year = 1995").select("year", "state", F.lit(7).cast("long").alias("difference"))
+
+
+@query(LINES)
+def delimited_votes(spark: SparkSession, d: str) -> DataFrame:
+    raw, off = written_lines(spark, d)
     states = raw.select(F.col("state").alias("native"), F.initcap("state").alias("canonical")).distinct()
     names = raw.where("candidate is not null").select(F.col("candidate").alias("native"), F.concat("candidate", F.lit("!")).alias("canonical")).distinct()
-    off = totals.where("year = 1995").select("year", "state", F.lit(7).cast("long").alias("difference"))
     return delimited.popular_votes(raw, "FILE", states, names, exceptions=off)
 
 
