@@ -14,7 +14,7 @@ from psephos.operators import resolution as R
 from psephos.shared import stored
 
 EXCLUDED_YEAR, EXCLUDED_NATION = 1996, 3
-OFFICE_YEAR, OFFICE_SEGMENT = 1994, "BUILDING"
+OFFICE_YEAR, OFFICE_SEGMENT = 1998, "BUILDING"
 SOURCES = [("ballots", 1, True)]
 
 

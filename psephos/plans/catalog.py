@@ -55,12 +55,12 @@ def coverage_by_year(spark: SparkSession, d: str) -> DataFrame:
     return M.coverage(*B.election(spark, d))
 
 
-PART_ROSTER = ", part as (select year, state, case when year = 1993 then 'legislature_chosen' else pv_status end as pv_status from roster where year < 1996)"
+PART_ROSTER = ", part as (select year, state, case when year = 1996 then 'legislature_chosen' else pv_status end as pv_status from roster where year < 1998)"
 
 
 @query(B.SQL + PART_ROSTER + B.SCORES_SQL.format(share=B.FULL_SHARE, roster="part") + "select year, ec_denominator, covered_electoral_votes, covered_electoral_votes / nullif(ec_denominator, 0) as pv_coverage from cov")
 def coverage_roster_unknown(spark: SparkSession, d: str) -> DataFrame:
-    part = B.roster(spark, d).where("year < 1996").withColumn("pv_status", F.when(F.col("year") == 1993, "legislature_chosen").otherwise(F.col("pv_status")))
+    part = B.roster(spark, d).where("year < 1998").withColumn("pv_status", F.when(F.col("year") == 1996, "legislature_chosen").otherwise(F.col("pv_status")))
     return M.coverage(B.joined(spark, d), part)
 
 
@@ -204,9 +204,9 @@ def roster_two_way(spark: SparkSession, d: str) -> DataFrame:
     return C.violations(C.roster_covers_facts(roster, facts)).drop("example")
 
 
-@query(B.SQL + "select year, count(*) as n_candidates, count(national_pv_votes) > 0 as has_popular_vote from (select year, candidate_id, sum(candidate_votes) as national_pv_votes from joined where year >= 1993 group by all) group by all")
+@query(B.SQL + "select year, count(*) as n_candidates, count(national_pv_votes) > 0 as has_popular_vote from (select year, candidate_id, sum(candidate_votes) as national_pv_votes from joined where year >= 1997 group by all) group by all")
 def years(spark: SparkSession, d: str) -> DataFrame:
-    return year_index(M.national_rollup(B.joined(spark, d), ["year", "candidate_id"], ["candidate"]), 1993)
+    return year_index(M.national_rollup(B.joined(spark, d), ["year", "candidate_id"], ["candidate"]), 1997)
 
 
 @query(B.SQL + "select * from joined where year = 1995")
@@ -214,10 +214,10 @@ def rows_by_year(spark: SparkSession, d: str) -> DataFrame:
     return B.joined(spark, d).where("year = 1995").orderBy("state", "candidate")
 
 
-@query(B.SQL + "select * from joined where state = (select state from ev where n_nationkey = 7) and year between 1994 and 1996")
+@query(B.SQL + "select * from joined where state = (select state from ev where n_nationkey = 7) and year between 1996 and 1998")
 def rows_by_state(spark: SparkSession, d: str) -> DataFrame:
     place = B.electors(spark, d).where("n_nationkey = 7").select("state")
-    return B.joined(spark, d).where("year between 1994 and 1996").join(place, "state", "left_semi").orderBy("year", "candidate")
+    return B.joined(spark, d).where("year between 1996 and 1998").join(place, "state", "left_semi").orderBy("year", "candidate")
 
 
 @query(B.SQL + "select * from joined where candidate = 'BUILDING'")

@@ -83,9 +83,9 @@ def status_without_reason(spark: SparkSession, d: str) -> DataFrame:
     return C.status_has_reason(B.joined(spark, d).withColumn("count_status_reason", reason)).violations.select("year", "state", "candidate_id")
 
 
-@query(B.SQL + ", x as (select *, president_electoral_votes_counted + case when year = 1994 then 1 else 0 end as c from joined) select year, state, candidate_id from x where c <> case when count_status = 'counted' then president_electoral_votes else 0 end")
+@query(B.SQL + ", x as (select *, president_electoral_votes_counted + case when year = 1999 then 1 else 0 end as c from joined) select year, state, candidate_id from x where c <> case when count_status = 'counted' then president_electoral_votes else 0 end")
 def counted_against_status(spark: SparkSession, d: str) -> DataFrame:
-    more = F.col("president_electoral_votes_counted") + F.when(F.col("year") == 1994, 1).otherwise(0)
+    more = F.col("president_electoral_votes_counted") + F.when(F.col("year") == 1999, 1).otherwise(0)
     return C.counted_follows_status(B.joined(spark, d).withColumns({"is_total": F.lit(False), "president_electoral_votes_counted": more})).violations.select("year", "state", "candidate_id")
 
 
@@ -105,9 +105,9 @@ def absences_against_spine(spark: SparkSession, d: str) -> DataFrame:
     return C.violations(C.catalog_matches_spine(absent, spine)).drop("example")
 
 
-@query(B.SQL + "select year, state, candidate_id from joined where year < 1994 and candidate_votes is not null")
+@query(B.SQL + "select year, state, candidate_id from joined where year < 1997 and candidate_votes is not null")
 def below_floor(spark: SparkSession, d: str) -> DataFrame:
-    return C.nothing_below_floor(B.joined(spark, d), "candidate_votes", 1994).violations.select("year", "state", "candidate_id")
+    return C.nothing_below_floor(B.joined(spark, d), "candidate_votes", 1997).violations.select("year", "state", "candidate_id")
 
 
 @query(B.SQL + "select year, state, candidate_id from joined where year in (1996, 1997) and president_electoral_votes > 0 and candidate_votes is null")
@@ -134,10 +134,10 @@ def winner_not_first(spark: SparkSession, d: str) -> DataFrame:
     return C.winner_is_first(summary, scores).violations.select("year", "ec_winner", "first")
 
 
-@query(B.SQL + "select year, state, candidate_id from joined where source is not null and (year = 1993 or (case when year = 1994 then 'other' else source end) <> 'ballots')")
+@query(B.SQL + "select year, state, candidate_id from joined where source is not null and (year = 1997 or (case when year = 1998 then 'other' else source end) <> 'ballots')")
 def not_redistributable(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.joined(spark, d).withColumn("redistributable", F.when(F.col("year") == 1993, F.col("redistributable") & F.lit(False)).otherwise(F.col("redistributable")))
-    rows = rows.withColumn("source", F.when((F.col("year") == 1994) & F.col("source").isNotNull(), "other").otherwise(F.col("source")))
+    rows = B.joined(spark, d).withColumn("redistributable", F.when((F.col("year") == 1997) & F.col("redistributable").isNotNull(), False).otherwise(F.col("redistributable")))
+    rows = rows.withColumn("source", F.when((F.col("year") == 1998) & F.col("source").isNotNull(), "other").otherwise(F.col("source")))
     return C.redistributable_only(rows, ["ballots"]).violations.select("year", "state", "candidate_id")
 
 

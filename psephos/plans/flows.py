@@ -64,10 +64,10 @@ def placeholder_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def printed_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, K.Catalog]:
-    """In 1994 and 1995 column 1 stands for two people, and some states' split of 1995 is lost; in 1996 the early states
+    """In 1995 and 1997 column 1 stands for two people, and some states' split of 1995 is lost; in 1996 the early states
     have votes and electors that are not printed, and the printed allotment is off by one."""
     names = B.candidates(spark, d)
-    early, lumped = F.col("state") < "NATION_15", F.col("year").isin(1994, 1995)
+    early, lumped = F.col("state") < "NATION_15", F.col("year").isin(1997, 1995)
     states = B.counted_votes(spark, d).join(names.withColumnRenamed("name", "candidate"), "candidate").select("year", "state", F.col("candidate_id").alias("col_ind"), F.col("candidate_votes").alias("votes"))
     totals = states.groupBy("year", "col_ind").agg(F.sum("votes").alias("votes")).withColumn("state", F.lit(K.TOTALS))
     held = states.groupBy("year", "state").agg(F.sum("votes").alias("electors")).withColumn("electors", F.when((F.col("year") == 1996) & early, 0).otherwise(F.col("electors")))
@@ -79,17 +79,17 @@ def printed_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     shares = split.withColumn("votes", half).unionByName(split.withColumns({"col_ind": F.lit(6), "votes": F.col("votes") - half}))
     late = held.where((F.col("year") == 1996) & early).select("year", "state")
     catalog = K.Catalog(
-        spark.createDataFrame([(y, c, n, n) for y in (1994, 1995) for c, n in ((1, "ANN"), (6, "BOB"))], "year int, col_ind int, name string, home string"),
+        spark.createDataFrame([(y, c, n, n) for y in (1997, 1995) for c, n in ((1, "ANN"), (6, "BOB"))], "year int, col_ind int, name string, home string"),
         shares, late.select("year", "state", F.lit("BUILDING").alias("name"), F.lit(3).alias("votes")), late.select("year", "state", F.lit(5).cast("long").alias("electors")),
     )
     return states.unionByName(totals), held.unionByName(sums), columns, catalog
 
 
-PRINTED = B.SQL + ", printed as (select year, state, candidate_id as col_ind, candidate_votes as votes from pv join cand using (candidate)), lumps as (select * from printed where col_ind = 1 and (year = 1994 or (year = 1995 and state >= 'NATION_15')))"
+PRINTED = B.SQL + ", printed as (select year, state, candidate_id as col_ind, candidate_votes as votes from pv join cand using (candidate)), lumps as (select * from printed where col_ind = 1 and (year = 1997 or (year = 1995 and state >= 'NATION_15')))"
 
 
-@query(PRINTED + """, every as (select * from printed where not (col_ind = 1 and year in (1994, 1995))
-  union all select year, state, c, 0 from places, (values (1), (6)) v(c) where year in (1994, 1995)
+@query(PRINTED + """, every as (select * from printed where not (col_ind = 1 and year in (1997, 1995))
+  union all select year, state, c, 0 from places, (values (1), (6)) v(c) where year in (1997, 1995)
   union all select year, state, 1, votes // 2 from lumps union all select year, state, 6, votes - votes // 2 from lumps
   union all select year, state, candidate_id, 3 from places, cand where year = 1996 and state < 'NATION_15' and candidate = 'BUILDING'),
 fixed as (select year, state, col_ind, sum(votes)::bigint as votes from every group by all)
@@ -229,9 +229,9 @@ def served_election(spark: SparkSession, d: str) -> DataFrame:
     return served(spark, d).election(1995, "n4")[0]
 
 
-@query(ROWS + "select * from snap where state_usps = 'N6' and year between 1993 and 1995")
+@query(ROWS + "select * from snap where state_usps = 'N6' and year between 1996 and 1998")
 def served_state(spark: SparkSession, d: str) -> DataFrame:
-    return served(spark, d).state("N6", 1993, 1995)
+    return served(spark, d).state("N6", 1996, 1998)
 
 
 @query(ROWS + "select * from snap where candidate_slug = 'building' and year >= 1996")

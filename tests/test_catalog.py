@@ -30,6 +30,7 @@ def test_query_equals_sql(spark, name):
     cursor = con.execute(oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
+    assert got, "a query that shows nothing cannot show that it is right"
     order = sorted(columns)
     key = lambda row: tuple((x is not None, str(x)) for x in row)
     want = sorted((tuple(r[columns.index(c)] for c in order) for r in cursor.fetchall()), key=key)
