@@ -58,14 +58,17 @@ class MTree:
         self.wholes = Wholes(self.raw)
         self.large = np.abs(self.raw).max(axis=1, initial=0.0) >= LOOSE
         self.loose = np.nonzero(self.large)[0]
-
-    def scores(self, rows: np.ndarray, query: Wholes) -> list[int]:
-        """Exact inner products of these rows with the one query."""
-        if not len(rows):
-            return []
-        if not len(query.rows[0]) or self.wholes.kinds[rows].any():
-            return [int(s) for s in self.wholes.take(rows).products(query)[:, 0]]
-        return (self.wholes.floors[rows] @ query.floors[0]).astype(np.int64).tolist()
+        self.any_large = bool(self.wholes.kinds.any())
+
+    def scores(self, rows: np.ndarray, query: Wholes, least: int | None) -> tuple[list[int], list[int]]:
+        """(exact inner products with the one query, ids) of these rows, without those below the least one, if there is one."""
+        if not len(query.rows[0]) or (self.any_large and self.wholes.kinds[rows].any()):
+            return [int(s) for s in self.wholes.take(rows).products(query)[:, 0]], self.ids[rows].tolist()
+        found = self.wholes.floors[rows] @ query.floors[0]
+        if least is not None:
+            keep = found >= float(least)
+            rows, found = rows[keep], found[keep]
+        return found.astype(np.int64).tolist(), self.ids[rows].tolist()
 
     def _build(self, rows: np.ndarray, pivot: np.ndarray) -> int:
         away = np.linalg.norm(self.lifted[rows] - pivot, axis=1)
@@ -100,7 +103,10 @@ class MTree:
         asked = Wholes(query[None, :])
 
         def look(rows: np.ndarray) -> int:
-            for score, row in zip(self.scores(rows, asked), self.ids[rows].tolist()):
+            if not len(rows):
+                return 0
+            least = best[0][0] if len(best) == k and abs(best[0][0]) < 1 << 53 else None
+            for score, row in zip(*self.scores(rows, asked, least)):
                 if row != query_id:
                     entry = (score, -row)
                     if len(best) < k:
