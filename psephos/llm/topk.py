@@ -28,8 +28,8 @@ from psephos.llm.common import stored
 from psephos.llm.exact import Wholes, all_finite, written
 
 SHARD = 8192
-PAGE = 64
-FANOUT = 16
+PAGE = 256
+FANOUT = 32
 BLOCK = 256
 #: Blocks that meet a shard in one task.
 BLOCKS_PER_TASK = 16
