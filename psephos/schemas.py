@@ -4,10 +4,6 @@ from __future__ import annotations
 
 PV = "source string, year int, state string, candidate string, party string, candidate_votes long, state_total_votes long, reliability string"
 PV_COLUMNS = ["source", "year", "state", "candidate", "party", "candidate_votes", "state_total_votes", "reliability"]
-VOTES = (
-    "year int, state string, is_total boolean, candidate_id int, total_electoral_votes int, president_electoral_votes int,"
-    " president_electoral_rank int, took_office boolean, count_status string, count_status_reason string, president_electoral_votes_counted int"
-)
 #: Years of the parsed nested record: two result tables a year.
 YEAR_RECORD = (
     "year int, t1 array<struct<president_candidate_name:string, president_candidate_party:string>>,"
