@@ -40,6 +40,8 @@ GROUP = 20_000
 KEYED = 20_000
 #: Rows of a group up to which near_texts takes all its pairs at once.
 SMALL = 16
+#: Rows and members of sets in one block of a family; a task compares two blocks.
+BLOCK, MEMBERS = 400, 400_000
 #: Fingerprints of 64 bits that near_texts takes of a text: one 128-bit hash of each shingle gives both.
 WIDE = 2
 #: Hashes counted at a time, so that a very long text needs little memory.
@@ -283,18 +285,32 @@ def first_shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return out
 
 
-def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, dist, degree, around) of rows (group, key, node, prints, and `more` further columns) sorted by group.
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each row of fingerprints of x differs from each of y."""
+    return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(WIDE))
+
+
+def clusters(prints: np.ndarray, bits: int, block: int = 64) -> Iterator[np.ndarray]:
+    """The rows in parts: rows within the radius of each other, directly or over others, are in one. Memory: block times rows."""
+    left = np.arange(len(prints))
+    while len(left):
+        part, front, left = [], left[:1], left[1:]
+        while len(front):
+            now, front = front[:block], front[block:]
+            part.append(now)
+            reached = (apart(prints[now], prints[left]) <= bits).any(axis=0)
+            front, left = np.concatenate([front, left[reached]]), left[~reached]
+        yield np.concatenate(part)
 
-    Without further columns: of a group of up to SMALL rows all pairs within the radius whose first shared key is its key;
-    of a larger one, for each row with a neighbour within the radius, its nearest one (dist) if the group's key is the
-    first that the two share, and, for the first kind of keys, a row with about the most neighbours (degree); and one
-    row with the list (around) of all that have a neighbour, at most GROUP of them. With further columns (component, size, shared): all pairs of
-    different components within the radius whose first shared key is its key and which may be similar enough, see may_reach().
-    """
 
-    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(WIDE))
+def pairs_in_order(bits: int, block: int = 256) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, dist, degree, around) of rows (group, key, node, prints) sorted by group.
+
+    Of a group of up to SMALL rows all pairs within the radius whose first shared key is its key. Of a larger one, for each
+    row with a neighbour within the radius, its nearest one (dist) if the group's key is the first that the two share;
+    for the first kind of keys, a row with about the most neighbours (degree); and one row for each of its clusters of two
+    rows or more (around), at most GROUP of them.
+    """
 
     def batch(a: np.ndarray, b: np.ndarray, dist: np.ndarray | None = None, degree: np.ndarray | None = None) -> pa.RecordBatch:
         rest = [pa.nulls(len(a), pa.int32()) if x is None else pa.array(x, pa.int32()) for x in (dist, degree)]
@@ -302,17 +318,15 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
 
     names = ["a", "b", "dist", "degree", "around"]
 
-    def pairs(i: np.ndarray, j: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+    def pairs(i: np.ndarray, j: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         real = node[i] != node[j]
-        if more:
-            real &= (extra[i, 0] != extra[j, 0]) & may_reach(extra[i, 1], extra[i, 2], extra[j, 1], extra[j, 2], similarity)
         i, j = i[real], j[real]
         own = first_shared(prints[i], prints[j]) == key[i]
         a, b = node[i[own]], node[j[own]]
         return batch(np.minimum(a, b), np.maximum(a, b))
 
     def some(at: int, n: int, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Of one large group: each row's nearest one and the group's hub. Memory: block^2."""
+        """Of one large group: its clusters, each row's nearest one and the group's hub. Memory: block^2."""
 
         def own(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return first_shared(prints[i], prints[j]) == key[at]
@@ -331,7 +345,9 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
                 nearest[i : i + block][better] = j + here[better]
         tied = np.flatnonzero(degree)
         if len(tied):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([node[rows[tied]]], pa.list_(pa.int64()))], names)
+            parts = [node[rows[tied[c]]] for c in clusters(prints[rows[tied]], bits)]
+            empty = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(parts, pa.list_(pa.int64()))], names)
             i, j = rows[tied], rows[nearest[tied]]
             mine = own(i, j)
             yield batch(node[i[mine]], node[j[mine]], dist=least[tied][mine])
@@ -342,7 +358,7 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
             if key[at] >> 24 == 0:  # one of the kinds of keys is enough for hubs
                 yield batch(node[rows[around]], np.full(len(around), node[at + hub]), degree=np.full(len(around), degree[hub]))
 
-    def found(group: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(group: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(first, len(group)))
         small = np.repeat(sizes <= SMALL, sizes)
@@ -350,17 +366,9 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
             at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
             at = at[np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1) <= bits]
             if len(at):
-                yield pairs(at, at + step, key, node, prints, extra)
+                yield pairs(at, at + step, key, node, prints)
         for at, n in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            if not more:
-                yield from some(at, n, key, node, prints)
-                continue
-            for i in range(at, at + n, block):
-                for j in range(i, at + n, block):
-                    a, b = np.nonzero(apart(prints[i : min(i + block, at + n)], prints[j : min(j + block, at + n)]) <= bits)
-                    a, b = a + i, b + j
-                    if (less := a < b).any():
-                        yield pairs(a[less], b[less], key, node, prints, extra)
+            yield from some(at, n, key, node, prints)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -368,8 +376,7 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
             if not rows.num_rows:
                 continue
             group, key, node, *rest = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in rows.columns)
-            extra = np.stack(rest[WIDE:], axis=1) if more else np.zeros((len(node), 0), dtype=np.int64)
-            now = [group, key, node, np.stack(rest[:WIDE], axis=1).view(np.uint64), extra]
+            now = [group, key, node, np.stack(rest, axis=1).view(np.uint64)]
             held.append(now)
             if now[0][-1] == held[0][0][0]:
                 continue  # the group goes on
@@ -383,20 +390,13 @@ def pairs_in_order(bits: int, more: int, similarity: float, block: int = 256) ->
     return run
 
 
-def may_reach(size: np.ndarray, shared: np.ndarray, other_size: np.ndarray, other_shared: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether two sets can reach the similarity, by their sizes and by how many of their members any other set has: what
-    both have is among these."""
-    both = np.minimum(shared, other_shared)
-    return both >= similarity * (size + other_size - both) - 1e-9
-
-
-def near_pairs(distinct: DataFrame, bits: int, more: Sequence[str] = (), similarity: float = 0.0) -> DataFrame:
-    """pairs_in_order() of the rows of distinct (node, prints, more), dealt by their keys."""
-    columns = ["node", *[f"p{k}" for k in range(WIDE)], *more]
+def near_pairs(distinct: DataFrame, bits: int) -> DataFrame:
+    """pairs_in_order() of the rows of distinct (node, prints), dealt by their keys."""
+    columns = ["node", *[f"p{k}" for k in range(WIDE)]]
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        rows, keys = wide_keys(np.stack(held[1 : 1 + WIDE], axis=1).view(np.uint64))
+        rows, keys = wide_keys(np.stack(held[1:], axis=1).view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[rows]) for c in held)], ["key", *columns])
 
     schema = ", ".join(f"{c} long" for c in ["key", *columns])
@@ -404,7 +404,7 @@ def near_pairs(distinct: DataFrame, bits: int, more: Sequence[str] = (), similar
     large = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-groups")
 
     def within(dealt: DataFrame) -> DataFrame:
-        return dealt.select("group", "key", *columns).repartition("group").sortWithinPartitions("group").mapInArrow(pairs_in_order(bits, len(more), similarity), "a long, b long, dist int, degree int, around array<long>")
+        return dealt.select("group", "key", *columns).repartition("group").sortWithinPartitions("group").mapInArrow(pairs_in_order(bits), "a long, b long, dist int, degree int, around array<long>")
 
     if large.isEmpty():
         return within(rows.withColumn("group", F.col("key")))
@@ -417,9 +417,10 @@ def near_pairs(distinct: DataFrame, bits: int, more: Sequence[str] = (), similar
 
 
 def shared_members(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, size, shared) of texts (node, text): how many shingles a text has, and how many of them another text has too.
+    """(node, size, shared, members) of texts (node, text): how many shingles a text has, how many of them another text has
+    too, and these as 64-bit hashes.
 
-    The second number comes from a bit filter of fixed size, so it may be too large, never too small.
+    What others have comes from a bit filter of fixed size, so it may be too much, never too little.
     """
 
     def hashes(text: bytes | None) -> np.ndarray:
@@ -434,9 +435,94 @@ def shared_members(texts: DataFrame, shingle: int) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         each = list(map(hashes, texts_as_bytes(batch.column(1))))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in each], pa.int64()), pa.array([int(in_filter(marked.value, FILTER_BITS, h).sum()) for h in each], pa.int64())], ["node", "size", "shared"])
+        kept = [h[in_filter(marked.value, FILTER_BITS, h)] for h in each]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in each], pa.int64()), pa.array([len(h) for h in kept], pa.int64()), pa.array([h.tobytes() for h in kept], pa.binary())], ["node", "size", "shared", "members"])
+
+    return arrow_map(texts.select("node", "text"), count, "node long, size long, shared long, members binary")
+
+
+def common_members(sets: Sequence[np.ndarray], often: int = 32, columns: int = 1024) -> np.ndarray:
+    """[i, j], i < j: how many members two sets have in common. What up to `often` sets have is counted pair by pair, what
+    all have once, the rest by products of 0/1 matrices of so many columns."""
+    n = len(sets)
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(n), [len(x) for x in sets])
+    out = np.full((n, n), int((counts == n).sum()), dtype=np.int64)
+    few = (counts[ids] > 1) & (counts[ids] <= often) & (counts[ids] < n)
+    order = np.lexsort((rows[few], ids[few]))
+    i, h = rows[few][order], ids[few][order]
+    for step in range(1, min(often, len(h))):
+        hit = np.flatnonzero(h[:-step] == h[step:])
+        if not len(hit):
+            break
+        out += np.bincount(i[hit] * n + i[hit + step], minlength=n * n).reshape(n, n)
+    many = (counts[ids] > often) & (counts[ids] < n)
+    held, at = np.unique(ids[many], return_inverse=True)
+    i, order = rows[many], np.argsort(at, kind="stable")
+    i, at = i[order], at[order]
+    for start in range(0, len(held), columns):
+        here = slice(*np.searchsorted(at, [start, start + columns]))
+        ones = np.zeros((n, columns), dtype=np.float32)
+        ones[i[here], at[here] - start] = 1
+        out += (ones @ ones.T).astype(np.int64)
+    return out
+
 
-    return arrow_map(texts.select("node", "text"), count, "node long, size long, shared long")
+def forest_of_sets(similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) of rows (group, node, component, upper, size, members) sorted by group: enough to tie together what the
+    similar pairs of a group tie together that its components don't. Pairs of two upper rows are left to another group."""
+
+    def found(node: list[int], component: list[int], upper: list[bool], size: list[int], members: list[bytes]) -> pa.RecordBatch | None:
+        if len(set(component)) < 2:
+            return None
+        first: dict[int, int] = {}
+        forest = Forest(len(node))
+        for k, c in enumerate(component):
+            forest.tie(first.setdefault(c, k), k)
+        both = common_members([np.frombuffer(m, dtype=np.uint64) for m in members])
+        sizes, high, out = np.array(size), np.array(upper), []
+        for i in range(len(node) - 1):
+            near = both[i, i + 1 :] >= similarity * (size[i] + sizes[i + 1 :] - both[i, i + 1 :])
+            for j in np.flatnonzero(near & ~(high[i] & high[i + 1 :])).tolist():
+                if forest.tie(i, i + 1 + j):
+                    out.append((node[i], node[i + 1 + j]))
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], [], []]
+        last = None
+        for rows in batches:
+            for group, *row in zip(*(c.to_pylist() for c in rows.columns)):
+                if group != last and held[0]:
+                    if (out := found(*held)) is not None:
+                        yield out
+                    held = [[], [], [], [], []]
+                last = group
+                for x, value in zip(held, row):
+                    x.append(value)
+        if held[0] and (out := found(*held)) is not None:
+            yield out
+
+    return run
+
+
+def family_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of rows (node, family, component, size, members): a forest of the similar pairs of each family.
+
+    Similar sets are of similar size: a set meets those of its own band of sizes and of the next. The rows of a band and the
+    next are dealt into blocks of about BLOCK rows and MEMBERS members, and every two blocks are compared by themselves.
+    What is shuffled is each set once for every other block, never a pair, and what a task gives is less than its rows.
+    """
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(np.log(1 / similarity)) + 0.001))
+    levels = rows.withColumn("band", band).withColumn("level", F.explode(F.array(F.col("band") - 1, "band"))).withColumn("upper", F.col("band") > F.col("level"))
+    several = stored(levels.groupBy("family", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("shared").alias("total"), F.min("component").alias("least"), F.max("component").alias("most"), F.min("upper").alias("alone")).where("least <> most and not alone").drop("least", "most", "alone"), "families")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / MEMBERS), F.lit(1)).cast("int")
+    dealt = levels.join(several, ["family", "level"]).withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or i <> j")
+    dealt = dealt.withColumn("group", F.xxhash64("family", "level", F.least("i", "j"), F.greatest("i", "j")))
+    return dealt.select("group", "node", "component", "upper", "size", "members").repartition("group").sortWithinPartitions("group").mapInArrow(forest_of_sets(similarity), "a long, b long")
 
 
 def node_of(words: list[bytes]) -> int:
@@ -456,8 +542,9 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     A node is the 64-bit hash of a text's words in lower case, so texts of the same words are one node (texts without
     words too). Candidates are pairs that share a Golay key of WIDE fingerprints and differ in at most bits of their
     64 * WIDE bits; the similarity is then computed on the texts. No pair below it is linked; what of the pairs above it
-    the keys miss is given in README. Of a large group not all pairs are listed: each text's nearest one and the group's
-    hub come first, and then only pairs that these have not tied and whose sizes and common shingles allow the similarity.
+    the keys miss is given in README. Of a large group no pairs are listed: each text's nearest one and the group's hub
+    come first; then texts that may have further partners are compared as sets of 64-bit hashes of their shingles, in blocks
+    of their family, and each pair of blocks gives a forest of links between what is not tied yet.
     """
     prints = [f"p{k}" for k in range(WIDE)]
 
@@ -500,19 +587,19 @@ def near_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     some = pairs.where("dist is null and degree is null").select("a", "b").unionByName(nearest).unionByName(hubs)
     tied = verified(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = stored(components(tied), "tied")
-    # Then, of the texts in larger groups, the pairs that are not tied yet and that their sizes and common shingles allow.
+    # Then the texts in clusters of larger groups: clusters that share a text are one family, whose sets are compared whole.
     if open_nodes.isEmpty():
         found = known
     else:
         # A text that shares too few of its shingles with any other has no partner at all; without these, the others share
         # fewer, so it is counted twice.
-        counted = stored(shared_members(texts.join(open_nodes, "node", "left_semi"), shingle), "members")
-        enough = counted.where(F.col("shared") >= similarity * F.col("size")).select("node")
-        counted = stored(shared_members(texts.join(enough, "node", "left_semi"), shingle), "members")
-        again = distinct.join(counted.where(F.col("shared") >= similarity * F.col("size")), "node").join(known, "node", "left")
-        again = stored(again.withColumn("component", F.coalesce("component", "node")), "open-prints")
-        rest = near_pairs(again, bits, ["component", "size", "shared"], similarity).select("a", "b").distinct()
-        found = components(tied.unionByName(verified(rest)))
+        fits = F.col("shared") >= similarity * F.col("size")
+        enough = stored(shared_members(texts.join(open_nodes, "node", "left_semi"), shingle).where(fits).select("node"), "enough")
+        sets = stored(shared_members(texts.join(enough, "node", "left_semi"), shingle).where(fits), "members")
+        families = components(met.where("around is not null").select(F.explode("around").alias("a"), F.array_min("around").alias("b"))).withColumnRenamed("component", "family")
+        again = sets.join(families, "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = stored(family_links(stored(again, "open-sets"), similarity), "family-links")
+        found = components(tied.unionByName(more))
     return marks.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 
