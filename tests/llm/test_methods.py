@@ -87,6 +87,30 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("chunk", [4, 1 << 19])
+def test_components_against_union_find(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    # A hub, random ties, a chain dealt over all tasks, loops and repeated edges, with negative and very large numbers.
+    edges = [(5_000, k) for k in range(5_001, 5_400)] + [(rng.randrange(2_000), rng.randrange(2_000)) for _ in range(1_200)]
+    edges += [(k, k + 1) for k in range(-200, -50)] + [(9_000, 9_000), (-(1 << 63), (1 << 63) - 1)] + edges[:300]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            parent[high] = low
+    rng.shuffle(edges)
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(16)).collect()
+    assert len(got) == len(parent) and dict(map(tuple, got)) == {x: top(x) for x in parent}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 @pytest.mark.parametrize("copies", [1, 40])
 def test_m_tree_against_brute_force(copies):
     rng = np.random.default_rng(5)
