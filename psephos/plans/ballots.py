@@ -6,6 +6,8 @@ cast but not counted; in OFFICE_YEAR somebody else than the first takes office.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The first and the last year wanted, None where that end is open.
+Years = tuple[int | None, int | None]
+
+
+def orders_of(spark: SparkSession, sf_dir: str, years: Years = (None, None)) -> DataFrame:
+    """Orders of these years, as a range of o_orderdate: a filter on year(o_orderdate) would not reach the Parquet scan."""
+    orders, (first, last) = table(spark, sf_dir, "orders"), years
+    if first is not None:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(date(first, 1, 1)))
+    if last is not None:
+        orders = orders.where(F.col("o_orderdate") < F.lit(date(last + 1, 1, 1)))
+    return orders
+
+
+def popular(spark: SparkSession, sf_dir: str, years: Years = (None, None)) -> DataFrame:
     """(year, state, candidate, o_orderstatus, candidate_votes). Orders are counted by customer before they meet customers."""
-    orders = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"), "o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    orders = orders_of(spark, sf_dir, years).groupBy(F.year("o_orderdate").alias("year"), "o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
     met = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     named = met.groupBy("year", "c_nationkey", "c_mktsegment", "o_orderstatus").agg(F.sum("n").alias("candidate_votes"))
     named = named.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -48,10 +64,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.withColumn("candidate_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("name"))).select("candidate_id", "name")
 
 
-def counted_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counted_votes(spark: SparkSession, sf_dir: str, years: Years = (None, None)) -> DataFrame:
     """(year, state, candidate, candidate_votes), counted once and written: orders are scanned for this alone, and all that
     follows reads years x nations x segments."""
-    return stored(all_sources(popular(spark, sf_dir)), "votes")
+    return stored(all_sources(popular(spark, sf_dir, years)), "votes")
 
 
 def spine(spark: SparkSession, sf_dir: str, votes: DataFrame | None = None) -> DataFrame:
@@ -85,9 +101,10 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCES, "source string, precedence_rank int, redistributable boolean")
 
 
-def joined(spark: SparkSession, sf_dir: str, votes: DataFrame | None = None) -> DataFrame:
-    """The joined view, written once, as the measures read it several times."""
-    votes = counted_votes(spark, sf_dir) if votes is None else votes
+def joined(spark: SparkSession, sf_dir: str, votes: DataFrame | None = None, years: Years = (None, None)) -> DataFrame:
+    """The joined view, written once, as the measures read it several times. No column of it looks beyond its year, so the
+    view of some years is that of all, cut to them; years counts where votes are not given."""
+    votes = counted_votes(spark, sf_dir, years) if votes is None else votes
     return stored(R.spine_join(spine(spark, sf_dir, votes), candidates(spark, sf_dir), resolved(spark, sf_dir, votes), sources(spark)), "joined")
 
 

@@ -206,18 +206,18 @@ def roster_two_way(spark: SparkSession, d: str) -> DataFrame:
 
 @query(B.SQL + "select year, count(*) as n_candidates, count(national_pv_votes) > 0 as has_popular_vote from (select year, candidate_id, sum(candidate_votes) as national_pv_votes from joined where year >= 1997 group by all) group by all")
 def years(spark: SparkSession, d: str) -> DataFrame:
-    return year_index(M.national_rollup(B.joined(spark, d), ["year", "candidate_id"], ["candidate"]), 1997)
+    return year_index(M.national_rollup(B.joined(spark, d, years=(1997, None)), ["year", "candidate_id"], ["candidate"]), 1997)
 
 
 @query(B.SQL + "select * from joined where year = 1995")
 def rows_by_year(spark: SparkSession, d: str) -> DataFrame:
-    return B.joined(spark, d).where("year = 1995").orderBy("state", "candidate")
+    return B.joined(spark, d, years=(1995, 1995)).orderBy("state", "candidate")
 
 
 @query(B.SQL + "select * from joined where state = (select state from ev where n_nationkey = 7) and year between 1996 and 1998")
 def rows_by_state(spark: SparkSession, d: str) -> DataFrame:
     place = B.electors(spark, d).where("n_nationkey = 7").select("state")
-    return B.joined(spark, d).where("year between 1996 and 1998").join(place, "state", "left_semi").orderBy("year", "candidate")
+    return B.joined(spark, d, years=(1996, 1998)).join(place, "state", "left_semi").orderBy("year", "candidate")
 
 
 @query(B.SQL + "select * from joined where candidate = 'BUILDING'")

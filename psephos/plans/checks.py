@@ -107,7 +107,7 @@ def absences_against_spine(spark: SparkSession, d: str) -> DataFrame:
 
 @query(B.SQL + "select year, state, candidate_id from joined where year < 1997 and candidate_votes is not null")
 def below_floor(spark: SparkSession, d: str) -> DataFrame:
-    return C.nothing_below_floor(B.joined(spark, d), "candidate_votes", 1997).violations.select("year", "state", "candidate_id")
+    return C.nothing_below_floor(B.joined(spark, d, years=(None, 1996)), "candidate_votes", 1997).violations.select("year", "state", "candidate_id")
 
 
 @query(B.SQL + "select year, state, candidate_id from joined where year in (1996, 1997) and president_electoral_votes > 0 and candidate_votes is null")
