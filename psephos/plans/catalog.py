@@ -204,9 +204,9 @@ def roster_two_way(spark: SparkSession, d: str) -> DataFrame:
     return C.violations(C.roster_covers_facts(roster, facts)).drop("example")
 
 
-@query(B.SQL + "select year, count(*) as n_candidates, count(national_pv_votes) > 0 as has_popular_vote from (select year, candidate_id, sum(candidate_votes) as national_pv_votes from joined where year >= 1997 group by all) group by all")
+@query(B.SQL + "select year, count(*) as n_candidates, count(national_pv_votes) > 0 as has_popular_vote from (select year, candidate_id, sum(candidate_votes) as national_pv_votes from joined group by all) group by all")
 def years(spark: SparkSession, d: str) -> DataFrame:
-    return year_index(M.national_rollup(B.joined(spark, d, years=(1997, None)), ["year", "candidate_id"], ["candidate"]), 1997)
+    return year_index(M.national_rollup(B.joined(spark, d), ["year", "candidate_id"], ["candidate"]))
 
 
 @query(B.SQL + "select * from joined where year = 1995")
