@@ -6,11 +6,12 @@ Words go that lie in a window whose word sequence also starts in a document with
 Exact copies of a smaller document's text lose all their windows, so they need no search and take no part in it.
 
 1. Anchors. Every window has one: the least hash among its runs of ANCHOR words. Equal windows have equal anchors, and
-   neighbouring windows mostly share one, so the anchors of all documents are few. An anchor found in one document only
+   neighbouring windows mostly share one, so the anchors of all documents are few. An anchor found in one row only
    shows that none of its windows repeats. The others are marked in a bit filter of fixed size (FILTER_BITS); where it
    fills up, more windows go on, none is lost.
 2. Edges. Windows with a marked anchor, once for each document, with a 64-bit hash and their place.
-3. Each repeated edge gets its source coordinate: the first place of the smallest document that has it.
+3. Each repeated edge gets its source coordinate: the first place of the smallest document that has it. Edges are dealt
+   once for that: rows of one edge meet in one task, three longs each, and are sorted there.
 4. Compaction. Joined with their sources, edges that follow each other in a document and in its source at once form a
    nonbranching path: a span (document, place, length, source, place there).
 5. Verification. The words of every span are digested at the source coordinate and at its own; only a span whose
@@ -30,7 +31,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from psephos.llm.common import alone, arrow_map, documents, stored, texts_as_bytes
 
@@ -148,22 +149,20 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(docs: Rows) -> DataFrame:
-    """(anchor) of anchors found in two documents or more."""
+    """(anchor) of anchors found in two rows or more, each counted once a row. No doc_id goes along: where rows share one,
+    more anchors are marked than repeat in two documents, and their windows are told apart later."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, names = [], []
+        found = []
         for name, t in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1))):
             words = t.split() if t and name is not None else []
             if len(words) >= WINDOW:
-                a = np.unique(anchors_of(WORDS.of(words)) & np.uint64((1 << ANCHOR_BITS) - 1))
-                found.append(a)
-                names.append(np.full(len(a), name, dtype=np.int64))
+                found.append(np.unique(anchors_of(WORDS.of(words)) & np.uint64((1 << ANCHOR_BITS) - 1)))
         if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], ["anchor", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["anchor"])
 
-    seen = docs.map(work, "anchor long, doc_id long")
-    return seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    return docs.map(work, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
 
 
 def edges(docs: Rows, marked: Broadcast) -> DataFrame:
@@ -194,9 +193,9 @@ def spans(found: DataFrame) -> DataFrame:
 
     at and source_at hold text bits and word number; size counts windows.
     """
-    firsts = found.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at"))
-    sources = stored(firsts.where("source < last").drop("last"), "edge-sources")
-    met = found.join(sources, "edge").where("source < doc_id").select("doc_id", "at", "source", (F.col("source_at") - F.col("at")).alias("apart"))
+    of_edge = Window.partitionBy("edge").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    with_source = found.withColumns({"source": F.first("doc_id").over(of_edge), "source_at": F.first("at").over(of_edge)})
+    met = with_source.where("source < doc_id").select("doc_id", "at", "source", (F.col("source_at") - F.col("at")).alias("apart"))
     place = Window.partitionBy("doc_id").orderBy("source", "apart", "at")
     path = met.withColumn("path", F.col("at") - F.row_number().over(place))
     return path.groupBy("doc_id", "source", "apart", "path").agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("size")).select("doc_id", "at", "size", "source", (F.col("at") + F.col("apart")).alias("source_at"))
@@ -226,6 +225,12 @@ class Rows:
     def rows(self) -> DataFrame:
         return self.map(lambda batch: batch, self.tables[0][0].schema)
 
+    def packed_rows(self) -> DataFrame:
+        """The rows with their texts packed, to be shuffled."""
+        plain = self.tables[0][0].schema
+        schema = StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in plain.fields])
+        return self.map(partial(pack_texts, at=plain.names.index("text")), schema)
+
     @staticmethod
     def _map(df: DataFrame, tests: tuple[tuple[Broadcast, bool], ...], work: Callable, schema: str | StructType) -> DataFrame:
         names = df.columns
@@ -246,6 +251,19 @@ def digest_of(words: list[bytes], at: int, size: int) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words[at : at + size + WINDOW - 1]))
 
 
+def pack_texts(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """The batch with its column of texts packed one by one: its length in eight bytes, then zstd."""
+    codec = pa.Codec("zstd")
+    packed = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts_as_bytes(batch.column(at))]
+    columns = [pa.array(packed, pa.binary()) if k == at else c for k, c in enumerate(batch.columns)]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def unpacked_texts(column: pa.Array) -> list[bytes | None]:
+    codec = pa.Codec("zstd")
+    return [None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) for p in column.to_pylist()]
+
+
 def _inside(place: int) -> tuple[int, int]:
     return place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
 
@@ -254,11 +272,11 @@ def source_digests(docs: Rows, found: DataFrame) -> DataFrame:
     """(source, source_at, size, digest) of the words at the source coordinates, asked once each."""
     asked = found.select("source", "source_at", "size").distinct().groupBy("source").agg(F.collect_list(F.struct("source_at", "size")).alias("asked"))
     asked = stored(asked, "asked")
-    rows = docs.passing(id_filter(asked.select("source")), True).rows().join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
+    rows = docs.passing(id_filter(asked.select("source")), True).packed_rows().join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for name, t, asked_of in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+        for name, t, asked_of in zip(batch.column(0).to_pylist(), unpacked_texts(batch.column(1)), batch.column(2).to_pylist()):
             words, bits = (t or b"").split(), text_bits(t or b"")
             for a in asked_of:
                 text, at = _inside(a["source_at"])
@@ -304,10 +322,9 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     copies = stored(exact_copies(every.select("doc_id", "text")), "copies")
     copied = id_filter(copies.select("doc_id"))
     # Rows that the filter lets in are few; those that are no copies after all (or have no copy's text) go back to the others.
-    whole = Rows(((every, ()),))
-    maybe = whole.passing(copied, True).rows().withColumns({k: v for k, v in zip(["h1", "h2", "chars"], text_key())})
-    key = ["doc_id", "h1", "h2", "chars"]
-    back = stored(maybe.join(copies, key, "left_anti").select("doc_id", "text", "rest"), "no-copies")
+    hashes, key = ["h1", "h2", "chars"], ["doc_id", "h1", "h2", "chars"]
+    keyed = Rows(((every.withColumns(dict(zip(hashes, text_key()))), ()),)).passing(copied, True)
+    back = stored(keyed.rows().join(copies, key, "left_anti").select("doc_id", "text", "rest"), "no-copies")
     rows = Rows(((every, ((copied, False),)), (back, ())))
     bare = Rows(tuple((df.drop("rest"), tests) for df, tests in rows.tables))
     marked = bit_filter(repeated_anchors(bare), FILTER_BITS)
@@ -317,12 +334,13 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     verified = stored(verified, "verified")
     own = id_filter(verified.select("doc_id"))
 
-    def result(batch: pa.RecordBatch, copy: bool = False) -> pa.RecordBatch:
+    def result(batch: pa.RecordBatch, copy: bool = False, packed: bool = False) -> pa.RecordBatch:
         n, removed, last = [], [], []
-        lists = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-        for t, removable in zip(texts_as_bytes(batch.column(1)), lists):
+        found_texts = unpacked_texts(batch.column(1)) if packed else texts_as_bytes(batch.column(1))
+        lists = batch.column(3).to_pylist() if packed else [None] * batch.num_rows
+        for t, removable in zip(found_texts, lists):
             words = (t or b"").split()
-            kept = kept_words(words, removable, text_bits(t)) if removable else words
+            kept = kept_words(words, removable, text_bits(t)) if removable and words else words
             if copy and len(words) >= WINDOW:
                 kept = []
             n.append(len(words))
@@ -332,13 +350,16 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             else:
                 last.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         final = pa.array(last, pa.binary()).cast(pa.string()) if texts else pa.array(last, pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), final, batch.column(2)], ["doc_id", "n_words", "n_removed", name, "rest"])
+        own_columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), final, batch.column(2)]
+        return pa.RecordBatch.from_arrays([*own_columns, *(batch.columns[3:] if copy else [])], [*schema.names, *(hashes if copy else [])])
 
     name = "text" if texts else "kept_sha256"
     schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add(name, "string").add("rest", every.schema["rest"].dataType)
-    inside = rows.passing(own, True).rows().join(verified, "doc_id", "left").select("doc_id", "text", "rest", "removable")
-    of_copies = maybe.join(copies, key, "left_semi").select("doc_id", "text", "rest")
-    parts = [arrow_map(inside, result, schema), rows.passing(own, False).map(result, schema), arrow_map(of_copies, partial(result, copy=True), schema)]
+    inside = rows.passing(own, True).packed_rows().join(verified, "doc_id", "left").select("doc_id", "text", "rest", "removable")
+    # What is left of a copy is short or nothing, so its text ends here and the rest meets the keys of copies.
+    with_key = StructType([*schema.fields, *keyed.tables[0][0].select(hashes).schema.fields])
+    of_copies = keyed.map(partial(result, copy=True), with_key).join(copies, key, "left_semi").select(schema.names)
+    parts = [arrow_map(inside, partial(result, packed=True), schema), rows.passing(own, False).map(result, schema), of_copies]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
