@@ -69,12 +69,12 @@ def repeat_words(words: Column) -> Column:
     return of_words(words).cast("long")
 
 
-def statistics(docs: DataFrame, prefix: str, text: str = "text") -> DataFrame:
-    """docs with the counts of COUNTS added as prefix + name; a null text has no words and every count 0."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def all_counts(text: Column) -> Column:
+    """The counts of COUNTS as one struct; a null text has no words and every count 0."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
 
-    def all_counts(w: Column) -> Column:
+    def of_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -86,19 +86,29 @@ def statistics(docs: DataFrame, prefix: str, text: str = "text") -> DataFrame:
             F.regexp_count(t, F.lit(r"[0-9]+")).cast("long").alias("n_digits"),
         )
 
+    return let(F.regexp_extract_all(t, F.lit(f"({WORD})"), 1), of_words)
+
+
+def statistics(docs: DataFrame, prefix: str, text: str = "text") -> DataFrame:
+    """docs with the counts of COUNTS added as prefix + name; a null text has no words and every count 0."""
     whole = f"{prefix}all"
-    out = docs.withColumn(whole, let(F.regexp_extract_all(t, F.lit(f"({WORD})"), 1), all_counts))
+    out = docs.withColumn(whole, all_counts(F.col(text)))
     return out.withColumns({prefix + c: F.col(whole)[c] for c in COUNTS}).drop(whole)
 
 
-def base_failed(prefix: str) -> Column:
-    n, repeated = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+def count_of(stats: str | Column, name: str) -> Column:
+    """A count: the column of this name with the prefix stats, or the field of the struct stats."""
+    return F.col(stats + name) if isinstance(stats, str) else stats[name]
+
+
+def base_failed(stats: str | Column) -> Column:
+    n, repeated = count_of(stats, "n_words"), count_of(stats, "n_repeat_words")
     return (n < 10) | (100 * repeated > 20 * n)
 
 
-def shapes(prefix: str) -> dict[str, Column]:
+def shapes(stats: str | Column) -> dict[str, Column]:
     """The rates that rules have thresholds on; 0 for texts without words."""
-    t = {c: F.col(prefix + c) for c in COUNTS}
+    t = {c: count_of(stats, c) for c in COUNTS}
     return {k: F.when(t["n_words"] > 0, f(t)).otherwise(F.lit(0.0)) for k, f in SHAPES.items()}
 
 
@@ -108,28 +118,29 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self, prefix: str) -> Column:
-        x = shapes(prefix)[self.shape]
+    def column(self, rates: dict[str, Column]) -> Column:
+        x = rates[self.shape]
         return x > F.lit(self.threshold) if self.above else x <= F.lit(self.threshold)
 
 
 Rule = tuple[Condition, ...]
 
 
-def covers(rule: Rule, prefix: str) -> Column:
+def covers(rule: Rule, rates: dict[str, Column]) -> Column:
     out = F.lit(True)
     for c in rule:
-        out = out & c.column(prefix)
+        out = out & c.column(rates)
     return out
 
 
-def verdict(rules: list[Rule], prefix: str) -> Column:
+def verdict(rules: list[Rule], stats: str | Column) -> Column:
     """The decision list as one CASE expression: false at the first rule that covers the document, true if none does."""
     if not rules:
         return F.lit(True)
-    out = F.when(covers(rules[0], prefix), F.lit(False))
+    rates = shapes(stats)
+    out = F.when(covers(rules[0], rates), F.lit(False))
     for rule in rules[1:]:
-        out = out.when(covers(rule, prefix), F.lit(False))
+        out = out.when(covers(rule, rates), F.lit(False))
     return out.otherwise(F.lit(True))
 
 
@@ -220,16 +231,16 @@ def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(labelled_ids(known, "quality", SAMPLE)[0], "labelled-ids")
 
 
-def rules_filter(docs: DataFrame, rules: list[Rule], prefix: str = "_stat_") -> DataFrame:
+def rules_filter(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs, all columns as they are, without those that the base test or a rule rejects. No shuffle, no Python.
 
     A null or empty text has no words and fails the base test; repeated rows and rows with a null id each get their
-    verdict; an empty table gives none. Columns of docs that start with the prefix keep their values.
+    verdict; an empty table gives none.
+
+    The list reads a struct that is counted once a row. As columns, the counts would be put into the filter once for
+    each condition, texts would be read as often, and a long list would not fit the driver.
     """
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    with_counts = statistics(docs, prefix)
-    return with_counts.where(~base_failed(prefix) & verdict(rules, prefix)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(let(all_counts(F.col("text")), lambda s: ~base_failed(s) & verdict(rules, s)))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
